@@ -15,7 +15,7 @@ All in Spark's own expressions. The table of sources and the table of (source, s
 documents. Reruns agree: order and choice depend on the seed and the documents alone.
 
 A null text has size 0 and takes nothing; a null source is a source; repeated rows keep a row each; an empty table gives
-an empty result; columns not named are ignored (mix() hands them through).
+an empty result; columns not named are ignored (mixed_documents() hands them through).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, with_row_id
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
 BLOCK_WORDS, SHARD_WORDS, SEED = 8, 1 << 22, 17
@@ -93,11 +93,23 @@ def mix_sizes(rows: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
     return run.withColumn("taken", taken.cast("long"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", columns: bool = False, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken; with columns, the input's columns and `_taken` instead."""
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if columns else [F.col(id_col).alias("doc_id")]
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *own) -> DataFrame:
     tie = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(source_col))
-    rows = materialize(docs.select(*own, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie")), "mix-sizes")
-    if not columns:
-        return mix_sizes(rows, **options).select("doc_id", "size", "source_size", "target", "taken")
-    return mix_sizes(rows, **options).select("_doc.*", F.col("taken").alias("_taken"))
+    return materialize(docs.select(*own, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie")), "mix-sizes")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken."""
+    rows = _sized(docs, id_col, text_col, source_col, F.col(id_col).alias("doc_id"))
+    return mix_sizes(rows, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs, each repeated as often as the mix takes it: whole texts, the part of one that a quota's edge cuts rounded.
+
+    Only documents cut by an edge are rounded, two for each shard at most. What is decided is joined back by row number.
+    """
+    rows = with_row_id(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")))
+    slim = _sized(with_row_id(docs), id_col, text_col, source_col, F.col("_rid"))
+    copies = mix_sizes(slim, **options).where("taken > 0").select("_rid", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    return rows.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

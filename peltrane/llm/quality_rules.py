@@ -86,7 +86,7 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_threshold: float = HOST_THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """doc_id, the measures, base_failed, host_rate, kept; with keep_columns the input's columns and `_kept` instead."""
+    """doc_id, the measures, base_failed, host_rate, kept; with keep_columns, the input's rows as a struct `_doc`, and `_kept`."""
     if keep_columns:
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
     else:
@@ -96,10 +96,15 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = rows.join(hosts, F.col("_source").eqNullSafe(F.col("_host")), "left")
     kept = ~F.col("_failed") & (F.col("host_rate") <= host_threshold)
     if keep_columns:
-        return joined.select("_doc.*", kept.alias("_kept"))
+        return joined.select("_doc", kept.alias("_kept"))
     return joined.select("doc_id", "_m.*", F.col("_failed").alias("base_failed"), "host_rate", kept.alias("kept"))
 
 
+def quality_filter(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the rules keep, with the columns of docs."""
+    return quality_verdicts(docs, keep_columns=True, **options).where("_kept").select("_doc.*")
+
+
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^{SPACE}]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS lines FROM d),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import embeddings, license_scan, mixing, packing, quality_rules, simhash, token_counts, url_filters
+from . import embeddings, license_scan, mixing, packing, pii, quality_rules, simhash, suffix_dedup, token_counts, url_filters
 from .common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark, sf_dir):
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -38,8 +42,12 @@ def op9_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_pii(spark, sf_dir):
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_url_filters, op3_packing, op4_mixing, op5_quality_rules, op6_simhash, op7_token_counts, op8_license_scan, op9_embeddings)
+    for f in (op1_suffix_dedup, op2_url_filters, op3_packing, op4_mixing, op5_quality_rules, op6_simhash, op7_token_counts, op8_license_scan, op9_embeddings, op10_pii)
 }
 ORACLE_SQL = {"op2_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_id
 from .components import components
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
@@ -50,15 +50,15 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id column's values as doc_id, and fp: the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    """_rid (the row's number), the id column's values as doc_id, and fp: the fingerprint as a signed long."""
+    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))).select("_rid", "doc_id", "text")
 
     def run(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["_rid", "doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(run, f"_rid long, doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def segments(distance: int = DISTANCE, bits: int = BITS) -> list[tuple[int, int]]:
@@ -95,13 +95,28 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= distance) & (F.col("a.bit") == first)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
+def _named(rows: DataFrame, distance: int) -> DataFrame:
+    """rows: fingerprints(). (fp, component): a component is named by its least fingerprint."""
+    distinct = materialize(rows.select("fp").distinct(), "fps")
+    found = components(links(distinct, distance))
+    return materialize(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component")), "fp-components")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
     rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
-    found = components(links(distinct, distance))
-    named = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "fp-components")
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = _named(rows, distance)
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     table = named.join(firsts, "component").select("fp", "component_id")
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """docs without all but one row of each component: the smallest id's (null last), of equal ids the first row's."""
+    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid"))
+    least = rows.groupBy("fp").agg(F.min(key).alias("least")).join(_named(rows, distance), "fp")
+    kept = least.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid"))
+    gone = materialize(rows.select("_rid").join(kept, "_rid", "left_anti"), "copies")
+    whole = with_row_id(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")))
+    return whole.join(gone, "_rid", "left_anti").select("_doc.*")
