@@ -7,57 +7,57 @@ are separated by single blanks, so `cc-by-sa-4.0` reads `cc by sa 4 0`. They use
 
 from __future__ import annotations
 
-#: Licenses: label, keyword, name, short forms, versions ("": none). Fixed values.
+#: Licenses: label, name, short forms, versions ("": none). Fixed values.
 FAMILIES = (
-    ("gpl", "general public license", "gnu general public license", ("gnu gpl", "gpl"), ("1 0", "2 0", "3 0", "2", "3")),
-    ("lgpl", "lesser general public", "gnu lesser general public license", ("gnu lgpl", "lgpl"), ("2 0", "2 1", "3 0", "3")),
-    ("agpl", "affero", "gnu affero general public license", ("gnu agpl", "agpl"), ("1 0", "3 0", "3")),
-    ("gfdl", "free documentation", "gnu free documentation license", ("gnu fdl", "gfdl"), ("1 1", "1 2", "1 3")),
-    ("apache", "apache", "apache software license", ("apache license", "apache"), ("1 0", "1 1", "2 0")),
-    ("mit", "mit", "the mit license", ("mit license", "mit licence", "mit x11"), ("",)),
-    ("bsd", "bsd", "berkeley software distribution license", ("bsd license", "bsd licence", "new bsd", "simplified bsd", "revised bsd"), ("0 clause", "2 clause", "3 clause", "4 clause")),
-    ("mpl", "mozilla", "mozilla public license", ("mozilla license",), ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", "eclipse public license", ("eclipse license",), ("1 0", "2 0")),
-    ("cddl", "common development", "common development and distribution license", ("cddl license",), ("1 0", "1 1")),
-    ("cpl", "common public", "common public license", (), ("1 0",)),
-    ("eupl", "european union", "european union public licence", ("european union public license",), ("1 0", "1 1", "1 2")),
-    ("osl", "open software", "open software license", (), ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", "academic free license", (), ("1 1", "2 0", "2 1", "3 0")),
-    ("artistic", "artistic", "artistic license", ("perl artistic",), ("1 0", "2 0")),
-    ("bsl", "boost", "boost software license", ("boost license",), ("1 0",)),
-    ("isc", "isc", "isc license", ("isc licence",), ("",)),
-    ("zlib", "zlib", "zlib libpng license", ("zlib license", "zlib licence"), ("",)),
-    ("libpng", "libpng", "libpng license", ("png reference library license",), ("2 0",)),
-    ("unlicense", "unlicense", "the unlicense", (), ("",)),
-    ("wtfpl", "wtfpl", "wtfpl", (), ("2 0",)),
-    ("python", "python", "python software foundation license", ("psf license", "python license"), ("2 0",)),
-    ("ruby", "ruby", "ruby license", (), ("",)),
-    ("php", "php", "php license", (), ("3 0", "3 01")),
-    ("postgresql", "postgresql", "postgresql license", ("postgresql licence",), ("",)),
-    ("openssl", "openssl", "openssl license", ("openssl ssleay license",), ("",)),
-    ("ofl", "open font", "sil open font license", ("open font license",), ("1 0", "1 1")),
-    ("odbl", "open database", "open data commons open database license", ("open database license",), ("1 0",)),
-    ("odc-by", "attribution license", "open data commons attribution license", (), ("1 0",)),
-    ("pddl", "public domain dedication", "open data commons public domain dedication and license", (), ("1 0",)),
-    ("ncsa", "ncsa", "university of illinois ncsa open source license", ("ncsa license",), ("",)),
-    ("ms-pl", "microsoft", "microsoft public license", (), ("",)),
-    ("ms-rl", "microsoft", "microsoft reciprocal license", (), ("",)),
-    ("qpl", "q public", "q public license", (), ("1 0",)),
-    ("upl", "universal permissive", "universal permissive license", (), ("1 0",)),
-    ("sspl", "server side", "server side public license", (), ("1 0", "1")),
-    ("busl", "business source", "business source license", (), ("1 0", "1 1")),
-    ("elastic", "elastic", "elastic license", (), ("1 0", "2 0")),
-    ("cecill", "cecill", "cecill free software license agreement", ("cecill license", "cecill"), ("1 0", "2 0", "2 1")),
-    ("ecl", "educational community", "educational community license", (), ("1 0", "2 0")),
-    ("lppl", "latex project", "latex project public license", (), ("1 0", "1 2", "1 3c")),
-    ("rpl", "reciprocal public", "reciprocal public license", (), ("1 1", "1 5")),
-    ("vim", "vim", "vim license", (), ("",)),
-    ("w3c", "w3c", "w3c software notice and license", ("w3c license",), ("",)),
-    ("zpl", "zope", "zope public license", (), ("1 1", "2 0", "2 1")),
-    ("blueoak", "blue oak", "blue oak model license", (), ("1 0 0",)),
-    ("mulan", "mulan", "mulan permissive software license", (), ("1", "2")),
-    ("openrail", "openrail", "creativeml openrail m", ("bigscience openrail m", "openrail m"), ("",)),
-    ("llama", "llama", "llama 2 community license", ("llama 3 community license", "llama community license"), ("",)),
+    ("gpl", "gnu general public license", ("gnu gpl", "gpl"), ("1 0", "2 0", "3 0", "2", "3")),
+    ("lgpl", "gnu lesser general public license", ("gnu lgpl", "lgpl"), ("2 0", "2 1", "3 0", "3")),
+    ("agpl", "gnu affero general public license", ("gnu agpl", "agpl"), ("1 0", "3 0", "3")),
+    ("gfdl", "gnu free documentation license", ("gnu fdl", "gfdl"), ("1 1", "1 2", "1 3")),
+    ("apache", "apache software license", ("apache license", "apache"), ("1 0", "1 1", "2 0")),
+    ("mit", "the mit license", ("mit license", "mit licence", "mit x11"), ("",)),
+    ("bsd", "berkeley software distribution license", ("bsd license", "bsd licence", "new bsd", "simplified bsd", "revised bsd"), ("0 clause", "2 clause", "3 clause", "4 clause")),
+    ("mpl", "mozilla public license", ("mozilla license",), ("1 0", "1 1", "2 0")),
+    ("epl", "eclipse public license", ("eclipse license",), ("1 0", "2 0")),
+    ("cddl", "common development and distribution license", ("cddl license",), ("1 0", "1 1")),
+    ("cpl", "common public license", (), ("1 0",)),
+    ("eupl", "european union public licence", ("european union public license",), ("1 0", "1 1", "1 2")),
+    ("osl", "open software license", (), ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", "academic free license", (), ("1 1", "2 0", "2 1", "3 0")),
+    ("artistic", "artistic license", ("perl artistic",), ("1 0", "2 0")),
+    ("bsl", "boost software license", ("boost license",), ("1 0",)),
+    ("isc", "isc license", ("isc licence",), ("",)),
+    ("zlib", "zlib libpng license", ("zlib license", "zlib licence"), ("",)),
+    ("libpng", "libpng license", ("png reference library license",), ("2 0",)),
+    ("unlicense", "the unlicense", (), ("",)),
+    ("wtfpl", "wtfpl", (), ("2 0",)),
+    ("python", "python software foundation license", ("psf license", "python license"), ("2 0",)),
+    ("ruby", "ruby license", (), ("",)),
+    ("php", "php license", (), ("3 0", "3 01")),
+    ("postgresql", "postgresql license", ("postgresql licence",), ("",)),
+    ("openssl", "openssl license", ("openssl ssleay license",), ("",)),
+    ("ofl", "sil open font license", ("open font license",), ("1 0", "1 1")),
+    ("odbl", "open data commons open database license", ("open database license",), ("1 0",)),
+    ("odc-by", "open data commons attribution license", (), ("1 0",)),
+    ("pddl", "open data commons public domain dedication and license", (), ("1 0",)),
+    ("ncsa", "university of illinois ncsa open source license", ("ncsa license",), ("",)),
+    ("ms-pl", "microsoft public license", (), ("",)),
+    ("ms-rl", "microsoft reciprocal license", (), ("",)),
+    ("qpl", "q public license", (), ("1 0",)),
+    ("upl", "universal permissive license", (), ("1 0",)),
+    ("sspl", "server side public license", (), ("1 0", "1")),
+    ("busl", "business source license", (), ("1 0", "1 1")),
+    ("elastic", "elastic license", (), ("1 0", "2 0")),
+    ("cecill", "cecill free software license agreement", ("cecill license", "cecill"), ("1 0", "2 0", "2 1")),
+    ("ecl", "educational community license", (), ("1 0", "2 0")),
+    ("lppl", "latex project public license", (), ("1 0", "1 2", "1 3c")),
+    ("rpl", "reciprocal public license", (), ("1 1", "1 5")),
+    ("vim", "vim license", (), ("",)),
+    ("w3c", "w3c software notice and license", ("w3c license",), ("",)),
+    ("zpl", "zope public license", (), ("1 1", "2 0", "2 1")),
+    ("blueoak", "blue oak model license", (), ("1 0 0",)),
+    ("mulan", "mulan permissive software license", (), ("1", "2")),
+    ("openrail", "creativeml openrail m", ("bigscience openrail m", "openrail m"), ("",)),
+    ("llama", "llama 2 community license", ("llama 3 community license", "llama community license"), ("",)),
 )
 #: Creative Commons codes and names, fixed values.
 CC = (
@@ -77,7 +77,7 @@ SENTENCES = (
     ("bsd", "neither the name", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse"),
     ("gpl", "free software", "this program is free software"),
     ("gpl", "either version", "either version [0-9](?: [0-9])? of the license or at your option any later version"),
-    ("apache", "licensed under the apache", "licensed under the apache license version [0-9] [0-9]"),
+    ("apache-2.0", "licensed under the apache", "licensed under the apache license version 2 0"),
     ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
     ("bsl", "boost", "distributed under the boost software license"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
@@ -103,15 +103,14 @@ SENTENCES = (
 def rules() -> list[tuple[int, str, str, str]]:
     """All rules by priority: hundreds, made from the tables above."""
     out = []
-    for label, keyword, name, shorts, versions in FAMILIES:
-        dated = [v for v in versions if v]
-        for v in dated:
-            out.append((1, f"{label}-{v.replace(' ', '.')}" if v[0].isdigit() and "clause" not in v else f"{label}-{v.replace(' ', '-')}", label, f"spdx license identifier {label} {v}(?: only| or later)?"))
-            out.append((2, f"{label}-{v.replace(' ', '.')}" if "clause" not in v else f"{label}-{v.replace(' ', '-')}", keyword, f"{name}(?: version| v)? {v}"))
+    for label, name, shorts, versions in FAMILIES:
         out.append((1, label, label, f"spdx license identifier {label}"))
-        out.append((2, label, keyword, name))
-        out += [(3, label, s, s) for s in shorts if " " in s]
-        out += [(3, label, s, f"{s} v?[0-9](?: [0-9])?") for s in shorts if " " not in s]
+        out.append((2, label, name, name))
+        out += [(3, label, s, s if " " in s else f"{s} v?[0-9](?: [0-9])?") for s in shorts]
+        for v in filter(None, versions):
+            dated = f"{label}-{v.replace(' ', '-' if 'clause' in v else '.')}"
+            out.append((1, dated, label, f"spdx license identifier {label} {v}(?: only| or later)?"))
+            out += [(2, dated, form, f"{form}(?: version| v)? {v}") for form in (name, *shorts)]
     for code, name in CC:
         tag = "cc-" + code.replace(" ", "-")
         for v in CC_VERSIONS:
