@@ -15,8 +15,8 @@ SEQUENCE_MAX = 3
 PRINTABLE_RUN = r"[\t\x20-\x7e]{4,}"
 
 
-def byte_entropy(content: Column) -> Column:
-    """Shannon entropy of the bytes in bits; 0 for no bytes or null. An Arrow UDF: a histogram of whole files in bounded memory."""
+def byte_entropy_function():
+    """Entropy as an Arrow UDF: a histogram of each file in bounded memory; also for spark.udf.register."""
 
     def entropy(s: pd.Series) -> pd.Series:
         out = np.zeros(len(s))
@@ -27,7 +27,12 @@ def byte_entropy(content: Column) -> Column:
                 out[i] = max(0.0, np.log2(len(x)) - float((c * np.log2(c)).sum()) / len(x))
         return pd.Series(out)
 
-    return F.pandas_udf(entropy, "double")(content)
+    return F.pandas_udf(entropy, "double")
+
+
+def byte_entropy(content: Column) -> Column:
+    """Shannon entropy of the bytes in bits; 0 for no bytes or null."""
+    return byte_entropy_function()(content)
 
 
 def printable_strings(text: Column) -> Column:

@@ -7,6 +7,7 @@ tables of the experiment's folder, which is where the lineage is cut.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,24 @@ from .config import Config
 KEY = "sha256"
 
 
+@dataclass(frozen=True)
+class Family:
+    """A family of presence features beside the built-in ones.
+
+    extract: parsed files (sha256, family, length, content, pe, ops) to distinct (sha256, token string).
+    select: those tokens of train, and how many files train has, to the vocabulary (token, df).
+    """
+
+    name: str
+    extract: Callable[[DataFrame], DataFrame]
+    select: Callable[[DataFrame, int], DataFrame]
+
+
 class Pipeline:
     """select() and build() over an experiment folder; run() does both."""
 
-    def __init__(self, spark: SparkSession, config: Config, experiment: str, decoder: disassembly.Decoder = disassembly.capstone_decoder):
-        self.spark, self.config, self.experiment, self.decoder = spark, config, experiment.rstrip("/"), decoder
+    def __init__(self, spark: SparkSession, config: Config, experiment: str, decoder: disassembly.Decoder = disassembly.capstone_decoder, families: tuple[Family, ...] = ()):
+        self.spark, self.config, self.experiment, self.decoder, self.families = spark, config, experiment.rstrip("/"), decoder, families
 
     def _stored(self, name: str, make: Callable[[], DataFrame], *partition: str) -> DataFrame:
         samples.write_table(make(), path := f"{self.experiment}/{name}", *partition)
@@ -95,9 +109,19 @@ class Pipeline:
         scope = files if self.config.opcode_scope == "all" else train
         df = vocabulary.document_frequency(self.sequence_tokens(scope)).select(F.lit("opcode").alias("kind"), F.encode("token", "UTF-8").alias("token"), "df")
         by_gain = chosen.join(df, ["kind", "token"], "left").select("kind", "token", "df", "ig")
-        plain = self.select_imports(train).unionByName(self.select_strings(train)).withColumn("ig", F.lit(None).cast("double"))
+        plain = self.select_imports(train).unionByName(self.select_strings(train))
+        for f in self.families:
+            plain = plain.unionByName(f.select(f.extract(train), train.count()).select(F.lit(f.name).alias("kind"), F.encode("token", "UTF-8").alias("token"), "df"))
+        plain = plain.withColumn("ig", F.lit(None).cast("double"))
         return self._stored("vocabulary", lambda: plain.unionByName(by_gain), "kind")
 
+    def import_gains(self, train: DataFrame) -> DataFrame:
+        """Gains of the prevalent imports' presence; not part of the selection, which goes by prevalence."""
+        found = pe_features.import_tokens(train, sample=KEY).distinct()
+        known = self.select_imports(train).select("kind", F.decode("token", "UTF-8").alias("token"))
+        kept = vocabulary.members(found, known, on=("kind", "token"))
+        return information.information_gain(kept, train.select(KEY, "family"), sample=KEY, label="family", by=("kind", "token"), base=self.config.ig_base)
+
     # -- Dataset ---------------------------------------------------------------------------------------------------------
 
     def _words(self, known: DataFrame, kind: str, binary: bool = False) -> list:
@@ -123,13 +147,16 @@ class Pipeline:
             df = known.where("kind = 'opcode'").select(F.decode("token", "UTF-8").alias("token"), "df")
             weights = vocabulary.tfidf(self.sequence_tokens(files), df, files.count())
             rows = padding.pad_weights(rows, weights, words, sample=KEY, out="opcodes")
+        for f in self.families:
+            if words := self._words(known, f.name):
+                rows = padding.pad_presence(rows, f.extract(files), words, sample=KEY, out=f.name)
         return self._stored(self.config.dataset, lambda: rows)
 
     def wide(self) -> DataFrame:
         """The dataset with one column for each feature, under names that tell all tokens apart."""
         known = self.spark.read.parquet(f"{self.experiment}/vocabulary")
         frame = self.spark.read.parquet(f"{self.experiment}/{self.config.dataset}")
-        kinds = {"dlls": ("", "dll"), "imports": ("", "import"), "strings": ("str_", "string"), "ngrams": ("ngram_", "byte"), "opcodes": ("opcode_", "opcode")}
+        kinds = {"dlls": ("", "dll"), "imports": ("", "import"), "strings": ("str_", "string"), "ngrams": ("ngram_", "byte"), "opcodes": ("opcode_", "opcode")} | {f.name: (f"{f.name}_", f.name) for f in self.families}
         return padding.wide(frame, {c: (prefix, self._words(known, kind, kind == "byte")) for c, (prefix, kind) in kinds.items() if c in frame.columns})
 
     def run(self) -> DataFrame:

@@ -42,8 +42,8 @@ def decoded(machine: int | None, code: bytes | None, address: int | None, error:
         return {"items": None, "error": f"{type(e).__name__}: {e}"}
 
 
-def disassemble(pe: Column, decoder: Decoder = capstone_decoder) -> Column:
-    """(items, error) of a parsed file."""
+def disassemble_function(decoder: Decoder = capstone_decoder):
+    """(machine, code, address, error) to (items, error), as an Arrow UDF."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
@@ -53,4 +53,9 @@ def disassemble(pe: Column, decoder: Decoder = capstone_decoder) -> Column:
         rows = zip(*(x.to_pylist() for x in (machine, code, address, error)), strict=True)
         return pa.array([decoded(*r, decoder) for r in rows], type=kind)
 
-    return F.arrow_udf(run, RESULT)(pe["machine"], pe["code"], pe["code_address"], pe["code_error"])
+    return F.arrow_udf(run, RESULT)
+
+
+def disassemble(pe: Column, decoder: Decoder = capstone_decoder) -> Column:
+    """(items, error) of a parsed file."""
+    return disassemble_function(decoder)(pe["machine"], pe["code"], pe["code_address"], pe["code_error"])

@@ -201,8 +201,8 @@ def parsed(data: bytes | None) -> dict:
     return out
 
 
-def parse_pe(content: Column) -> Column:
-    """The nested column; an Arrow UDF, one call for each batch."""
+def parse_pe_function():
+    """The parser as an Arrow UDF, one call for each batch; also for spark.udf.register."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
@@ -211,4 +211,9 @@ def parse_pe(content: Column) -> Column:
     def run(batch: pa.Array) -> pa.Array:
         return pa.array([parsed(x.as_py()) for x in batch], type=kind)
 
-    return F.arrow_udf(run, PE_TYPE)(content)
+    return F.arrow_udf(run, PE_TYPE)
+
+
+def parse_pe(content: Column) -> Column:
+    """The nested column."""
+    return parse_pe_function()(content)

@@ -4,10 +4,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from peltrane.functions import tokens
-from peltrane.operators import pe_features
+from peltrane.functions import sql, tokens
+from peltrane.operators import pe_features, vocabulary
 from peltrane.plans.config import Config
-from peltrane.plans.pipeline import Pipeline
+from peltrane.plans.pipeline import Family, Pipeline
 from peltrane.sources import disassembly, pe, samples
 from peltrane.streaming import extraction
 
@@ -149,7 +149,8 @@ def corpus(spark, tmp_path):
 def test_pipeline_end_to_end(spark, corpus):
     path, split = corpus
     config = Config(files=f"file://{path}/files", split=f"file://{path}/split", import_percent=5.0, string_share=0.2, ig_threshold=0.5)
-    p = Pipeline(spark, config, f"file://{path}/experiment", decoder=fake_decoder)
+    names = Family("sections", lambda f: f.select("sha256", F.explode("pe.sections.name").alias("token")).distinct(), lambda t, n: vocabulary.prevalent(vocabulary.document_frequency(t), (0, n)))
+    p = Pipeline(spark, config, f"file://{path}/experiment", decoder=fake_decoder, families=(names,))
     out = p.run()
     known = spark.read.parquet(f"file://{path}/experiment/vocabulary")
     kinds = {k: {bytes(r["token"]) for r in known.where(F.col("kind") == k).collect()} for k in ("dll", "import", "string", "byte", "opcode")}
@@ -168,6 +169,10 @@ def test_pipeline_end_to_end(spark, corpus):
         assert len(r.ngrams) == len(kinds["byte"]) and len(r.opcodes) == len(kinds["opcode"]) and len(r.dlls) == 3
     df = {bytes(r["token"]).decode(): r["df"] for r in known.where("kind = 'opcode'").collect()}
     assert df["i10"] == 12  # from train and test
+    train = spark.read.parquet(f"file://{path}/experiment/parsed").where("split = 'train'")
+    gains = {r.token: r.ig for r in p.import_gains(train).collect()}
+    assert gains["imp_meow"] > gains["imp_rare"] >= 0.0
+    assert "sections" not in out.columns  # each name is in all files of train, so none is selected
     words = sorted(df)
     cat = got[f"{1:064x}"]
     assert math.isclose(cat.opcodes[words.index("i10")], math.log(5) * math.log(24 / 13))
@@ -191,6 +196,13 @@ def test_files_and_stream_agree(spark, corpus):
     assert {tuple(r) for r in once.collect()} == {tuple(r) for r in batch.collect()}
 
 
+def test_sql_functions(spark):
+    sql.register(spark, fake_decoder)
+    spark.createDataFrame([("a", bytearray(build([(b".text", bytes([1, 2]), 0x1000)], entry=0x1000)))], "sha256 string, content binary").createOrReplaceTempView("files")
+    r = spark.sql("WITH p AS (SELECT parse_pe(content) AS pe, byte_entropy(content) AS e FROM files) SELECT pe.machine, e, disassemble(pe.machine, pe.code, pe.code_address, pe.code_error).items AS items FROM p").first()
+    assert r.machine == 0x14C and r.e > 0 and r["items"] == ["i1", "i2"]
+
+
 def test_reports_schema_and_config(spark, tmp_path):
     (tmp_path / "r.jsons").write_text('{"sha256": "a", "family": "f", "first_submission_date": 86400, "x": 1}\n{"sha256": "b"}\n')
     got = [tuple(map(str, r)) for r in samples.read_reports(spark, f"file://{tmp_path}/r.jsons").orderBy("sha256").collect()]
