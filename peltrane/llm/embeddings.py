@@ -163,3 +163,15 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     joined = rows.join(table, (F.col("label") == F.col("_label")) & (F.col("unit") == F.col("_unit")), "left")
     component = F.when(able, F.col("component_id")).otherwise(F.col("vec_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+#: All pairs of a label, and the closure of their links.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT rid, vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.rid AS i, b.rid AS j FROM u a JOIN u b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+r AS (SELECT rid AS i, rid AS j FROM v UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT r.i AS rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.j GROUP BY r.i),
+d AS (SELECT i AS rid, count(*) AS n_links FROM l GROUP BY i)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN d USING (rid)
+"""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, with_row_id
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
-BLOCK_WORDS, SHARD_WORDS, SEED = 8, 1 << 22, 17
+BLOCK_WORDS, SHARD_WORDS, SEED = 8, 1 << 20, 17
 
 
 def word_count(text: Column) -> Column:
@@ -34,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.when(flat == "", F.lit(0).cast("long")).otherwise((F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long"))
 
 
+def seeded(*parts: Column) -> Column:
+    """A hash of the parts, 0 to 2^60: md5, which other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def apportion(rows: DataFrame, within: list[str], claim: Column, seats: Column, out: str) -> DataFrame:
     """rows with `out`: the seats of each row in its group, by highest quotients claim / (2 k + 1). seats: of the group.
 
@@ -77,16 +82,16 @@ def mix_sizes(rows: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
     sources = apportion(sources, [], F.col("target"), F.round(F.col("_total") / block_words), "_blocks")
     sources = materialize(sources.withColumn("_shards", F.ceil(F.col("source_size") / shard_words).cast("long")).drop("_total"), "mix-sources")
     dealt = rows.join(sources.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "_tie"), F.greatest(F.lit(1).cast("long"), F.col("_shards"))))
+    dealt = dealt.withColumn("_shard", seeded(F.lit(seed), F.lit("shard"), F.col("_tie")) % F.greatest(F.lit(1).cast("long"), F.col("_shards")))
     cells = dealt.groupBy(F.col("_key").alias("_in"), F.col("_shard").alias("_key")).agg(F.sum("size").alias("_cell"), F.first("_blocks").alias("_blocks"))
     cells = apportion(cells, ["_in"], F.col("_cell"), F.col("_blocks"), "_quota")
     cells = cells.select("_in", F.col("_key").alias("_cell_shard"), F.col("_cell"), F.least(F.col("_quota") * block_words, max_repeat * F.col("_cell")).alias("_words"))
-    placed = Window.partitionBy("_key", "_shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "_tie"), "_tie", "size")
+    placed = Window.partitionBy("_key", "_shard").orderBy(seeded(F.lit(seed), F.lit("order"), F.col("_tie")), "_tie", "size")
     run = dealt.withColumn("_end", F.sum("size").over(placed.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.join(cells, (F.col("_key") == F.col("_in")) & (F.col("_shard") == F.col("_cell_shard")))
     n, words = F.greatest(F.col("_cell"), F.lit(1).cast("long")), F.col("_words")
     rounds, rest = F.floor(words / n), words % n
-    first = block_words * F.pmod(F.xxhash64(F.lit(seed), F.lit("first"), "_key", "_shard"), F.ceil(n / block_words))
+    first = block_words * (seeded(F.lit(seed), F.lit("first"), F.col("_key"), F.col("_shard")) % F.ceil(n / block_words))
     start = F.col("_end") - F.col("size")
     overlap = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least(b, first + rest) - F.greatest(a, first))
     taken = rounds * F.col("size") + overlap(start, F.col("_end")) + overlap(start + n, F.col("_end") + n)
@@ -94,7 +99,7 @@ def mix_sizes(rows: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *own) -> DataFrame:
-    tie = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(source_col))
+    tie = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.col(source_col)).cast("binary"))
     return materialize(docs.select(*own, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie")), "mix-sizes")
 
 
@@ -113,3 +118,27 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slim = _sized(with_row_id(docs), id_col, text_col, source_col, F.col("_rid"))
     copies = mix_sizes(slim, **options).where("taken > 0").select("_rid", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
     return rows.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+
+
+_HASH = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+#: The definitions in SQL: all quotients are ranked there.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+')) AS BIGINT) AS size,
+  md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text), source)) AS tie FROM documents),
+s0 AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY s),
+s1 AS (SELECT *, row_number() OVER (ORDER BY encode(s) NULLS LAST) AS k, CAST({MAX_REPEAT} * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s0),
+s2 AS (SELECT *, CAST({list(WEIGHTS)}[1 + (k - 1) % {len(WEIGHTS)}] AS DOUBLE) AS w FROM s1),
+s3 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+s4 AS (SELECT arg_min(level, (cap / w, k)) AS level FROM s3 WHERE level * w <= cap),
+s5 AS (SELECT s3.* EXCLUDE (level), CASE WHEN s4.level IS NULL THEN cap ELSE least(cap, s4.level * w) END AS target, CAST(ceil(source_size / {SHARD_WORDS}.0) AS BIGINT) AS shards FROM s3, s4),
+q1 AS (SELECT k, j, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, k, j) AS r, round(total / {BLOCK_WORDS}) AS n FROM (SELECT *, unnest(generate_series(0, CAST(cap / {BLOCK_WORDS} AS BIGINT) + 1)) AS j FROM s5 WHERE target > 0)),
+b AS (SELECT k, count(*) AS blocks FROM q1 WHERE r <= n GROUP BY k),
+x AS (SELECT d.*, k, source_size, target, CAST({_HASH.format(f"concat_ws('|', '{SEED}', 'shard', tie)")} % greatest(1, shards) AS BIGINT) AS shard FROM d JOIN s5 ON d.s IS NOT DISTINCT FROM s5.s),
+c AS (SELECT k, shard, CAST(sum(size) AS BIGINT) AS cell FROM x GROUP BY k, shard),
+q2 AS (SELECT k, shard, row_number() OVER (PARTITION BY k ORDER BY cell / (2 * j + 1) DESC, shard, j) AS r, coalesce(blocks, 0) AS n FROM (SELECT *, unnest(generate_series(0, CAST({MAX_REPEAT} * cell / {BLOCK_WORDS} AS BIGINT) + 50)) AS j FROM c WHERE cell > 0) LEFT JOIN b USING (k)),
+q3 AS (SELECT k, shard, count(*) FILTER (WHERE r <= n) AS quota FROM q2 GROUP BY k, shard),
+z AS (SELECT k, shard, cell, least(coalesce(quota, 0) * {BLOCK_WORDS}, {MAX_REPEAT} * cell) AS words, greatest(cell, 1) AS n,
+  {BLOCK_WORDS} * CAST({_HASH.format(f"concat_ws('|', '{SEED}', 'first', CAST(k AS VARCHAR), CAST(shard AS VARCHAR))")} % CAST(ceil(greatest(cell, 1) / {BLOCK_WORDS}.0) AS BIGINT) AS BIGINT) AS a FROM c LEFT JOIN q3 USING (k, shard)),
+y AS (SELECT *, words // n AS rounds, words % n AS rest, sum(size) OVER (PARTITION BY k, shard ORDER BY {_HASH.format(f"concat_ws('|', '{SEED}', 'order', tie)")}, tie, size ROWS UNBOUNDED PRECEDING) AS e FROM x JOIN z USING (k, shard))
+SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(e, a + rest) - greatest(e - size, a)) + greatest(0, least(e + n, a + rest) - greatest(e - size + n, a)) AS BIGINT) AS taken FROM y
+"""

@@ -50,4 +50,10 @@ QUERIES = {
     f.__name__: f
     for f in (op1_suffix_dedup, op2_url_filters, op3_packing, op4_mixing, op5_quality_rules, op6_simhash, op7_token_counts, op8_license_scan, op9_embeddings, op10_pii)
 }
-ORACLE_SQL = {"op2_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
+    "op2_url_filters": url_filters.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op9_embeddings": embeddings.ORACLE,
+}

@@ -20,8 +20,12 @@ A common-prefix-aware distributed merge sort of a sparse suffix array.
    common prefixes in the order by right and by left contexts. All comparisons are of bytes, none of hashes.
 6. Windows found are joined to the texts, merged into spans and removed.
 
-Memory: chunks, runs and ranges are of bounded size. An anchor whose following bytes recur with ever different bytes before
-them keeps one entry for each of those in one range; copies don't, as they are one entry of each run.
+Hot groups. Copies are one entry of each run, however many there are. But what follows an anchor may recur with ever different
+bytes before it (a passage that a third of all texts hold), and those entries would all meet in one group. So of each hash the
+distinct contexts are counted too, and anchors of one with over `hot_contexts` of them are replaced by their single windows, each
+an anchor at its own first byte with d = 0 and its own hash: now only equal windows meet, and those found once go as in 2.
+
+Memory: chunks, runs, ranges and groups are of bounded size.
 
 A null or empty text has no bytes. Texts are whole; very long ones are cut into overlapping chunks for step 1 only. Repeated
 rows are copies and lose what they share; null ids keep their rows. Columns other than the two named are ignored. An empty
@@ -42,8 +46,9 @@ from pyspark.sql import functions as F
 from .common import materialize, with_row_id
 
 LENGTH, SPAN, GRAM = 400, 300, 8
-CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES = 2 << 20, 60_000, 50_000
+CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 2 << 20, 60_000, 50_000, 20_000
 PAIRS_UP_TO = 12  # entries of a group that are compared two by two; larger groups go by classes
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,6 +58,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], equal for equal strings: polynomials modulo 2^64 from prefix sums."""
+    n = len(data)
+    powers, inverse = np.full(n + 1, BASE, dtype=np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), dtype=np.uint64)
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.cumprod(powers), np.cumprod(inverse)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * inverse[start])
+
+
 class Shape:
     """length, span and the bytes that all windows of an anchor share."""
 
@@ -64,7 +80,7 @@ class Shape:
 
 
 def anchors(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
-    """Of the texts' windows: text number, anchor's place, least and greatest d, hash of what follows the anchor."""
+    """Of the texts' windows: text number, anchor's place, least and greatest d, hashes of what follows and of the whole context."""
     flat = b"".join(texts)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
@@ -72,7 +88,7 @@ def anchors(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
     windows = np.maximum(sizes - shape.length + 1, 0)
     total = int(windows.sum())
     if not total:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     grams = np.ndarray((n,), "<u8", flat + bytes(GRAM), strides=(1,))
     packed = (_mixed(grams + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     blocks = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -91,7 +107,8 @@ def anchors(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
     h = np.empty(len(new), dtype=np.uint64)
     for k in range(0, len(new), 8192):
         h[k : k + 8192] = (data[place[k : k + 8192, None] + np.arange(shape.shared)].astype(np.uint64) * shape.weights).sum(axis=1, dtype=np.uint64)
-    return doc, place - (ends - sizes)[doc], place - starts[last], place - starts[new], _mixed(h)
+    context = string_hashes(data, starts[new], starts[last] + shape.length)
+    return doc, place - (ends - sizes)[doc], place - starts[last], place - starts[new], _mixed(h), context
 
 
 def _chunks(texts, shape: Shape, size: int):
@@ -112,17 +129,37 @@ def _chunks(texts, shape: Shape, size: int):
 
 
 def anchor_rows(rows: DataFrame, shape: Shape, size: int = CHUNK_BYTES) -> DataFrame:
-    """rows (_rid, _bytes) to (h, _rid, place, lo, hi)."""
+    """rows (_rid, _bytes) to (h, context, _rid, place, lo, hi)."""
 
     def run(batches):
         for b in batches:
             rid = np.array(b.column(0))
             for chunk in _chunks((x.as_py() or b"" for x in b.column(1)), shape, size):
-                doc, place, lo, hi, h = anchors([x[2] for x in chunk], shape)
+                doc, place, lo, hi, h, context = anchors([x[2] for x in chunk], shape)
                 row, offset = (np.array([x[k] for x in chunk], dtype=np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), rid[row[doc]], place + offset[doc], lo.astype(np.int32), hi.astype(np.int32))], names=["h", "_rid", "place", "lo", "hi"])
+                arrays = (h.view(np.int64), context.view(np.int64), rid[row[doc]], place + offset[doc], lo.astype(np.int32), hi.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "context", "_rid", "place", "lo", "hi"])
 
-    return rows.mapInArrow(run, "h long, _rid long, place long, lo int, hi int")
+    return rows.mapInArrow(run, "h long, context long, _rid long, place long, lo int, hi int")
+
+
+def window_rows(found: DataFrame, shape: Shape) -> DataFrame:
+    """found (_rid, _bytes, at array<struct<h, place, lo, hi>>) to its single windows as anchors (h, _rid, place, lo, hi)."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                data, at = np.frombuffer(b.column(1)[i].as_py(), dtype=np.uint8), b.column(2)[i].values
+                place, lo, hi = (at.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+                for k in range(0, len(place), 256):
+                    counts = (hi - lo + 1)[k : k + 256]
+                    starts = np.repeat((place - hi)[k : k + 256] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                    low = int(starts.min())
+                    h = string_hashes(data[low : int(starts.max()) + shape.length], starts - low, starts - low + shape.length)
+                    zero = pa.array(np.zeros(len(starts), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.repeat(b.column(0)[i], len(starts)), pa.array(starts), zero, zero], names=["h", "_rid", "place", "lo", "hi"])
+
+    return found.mapInArrow(run, "h long, _rid long, place long, lo int, hi int")
 
 
 # -- Front-coded runs -------------------------------------------------------------------------------------------------
@@ -352,15 +389,35 @@ def spans_of(pairs) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(rows: DataFrame, *, length: int = LENGTH, span: int = SPAN, size: int = CHUNK_BYTES, run_entries: int = RUN_ENTRIES, range_entries: int = RANGE_ENTRIES) -> DataFrame:
+def _met(every: DataFrame) -> DataFrame:
+    """The anchors whose hash occurs twice or more. Both sides of the join are read from tables, so hot hashes are split."""
+    twice = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes-met")
+    return every.join(twice, "h", "left_semi")
+
+
+def _with_texts(found: DataFrame, rows: DataFrame) -> DataFrame:
+    places = found.groupBy("_rid").agg(F.collect_list(F.struct("h", "place", "lo", "hi")).alias("at"))
+    return places.join(rows, "_rid").select("_rid", "_bytes", "at")
+
+
+def candidates(rows: DataFrame, shape: Shape, size: int, hot_contexts: int) -> DataFrame:
+    """(h, _rid, place, lo, hi): the anchors whose windows may repeat, those of hot hashes as single windows."""
+    every = materialize(anchor_rows(rows, shape, size), "anchors")
+    found = _met(every)
+    distinct = every.groupBy("h", "context").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(distinct.where(F.col("n") > hot_contexts).select("h"), "hashes-hot")
+    if hot.isEmpty():
+        return materialize(found.drop("context"), "anchors-met")
+    windows = materialize(window_rows(_with_texts(found.join(hot, "h", "left_semi").drop("context"), rows), shape), "windows")
+    return materialize(found.join(hot, "h", "left_anti").drop("context").unionByName(_met(windows)), "anchors-met")
+
+
+def repeated_spans(rows: DataFrame, *, length: int = LENGTH, span: int = SPAN, size: int = CHUNK_BYTES, run_entries: int = RUN_ENTRIES, range_entries: int = RANGE_ENTRIES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """rows (_rid, _bytes) to (_rid, spans): the intervals that repeated windows cover, for rows that have any."""
     shape = Shape(length, span)
-    every = materialize(anchor_rows(rows, shape, size), "anchors")
-    twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    found = materialize(every.join(twice, "h", "left_semi"), "anchors-met")
+    found = candidates(rows, shape, size, hot_contexts)
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // range_entries))
-    texts = found.groupBy("_rid").agg(F.collect_list(F.struct("h", "place", "lo", "hi")).alias("at")).join(rows, "_rid")
-    blocks = run_rows(texts.select("_rid", "_bytes", "at"), shape, ranges, run_entries)
+    blocks = run_rows(_with_texts(found, rows), shape, ranges, run_entries)
     covered = covered_rows(blocks.repartition(ranges, "range"), shape)
     return materialize(covered, "covered").groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -392,3 +449,19 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return joined.mapInArrow(run, schema)
+
+
+#: The definition in SQL, window by window.
+ORACLE = f"""
+WITH b AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT rid, b, unnest(generate_series(1, octet_length(b) - {LENGTH - 1})) AS i FROM b)),
+m AS (SELECT rid, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT rid, min(i) AS x, max(i) + {LENGTH} AS y FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM g) GROUP BY rid, k),
+p AS (SELECT rid, x, coalesce(lag(y) OVER (PARTITION BY rid ORDER BY x), 1) AS a, x AS z FROM s UNION ALL SELECT rid, max(x) + 1, max(y), NULL FROM s GROUP BY rid),
+k AS (SELECT rid, coalesce(string_agg(hex(array_slice(b, a, coalesce(z - 1, octet_length(b)))), '' ORDER BY x) FILTER (WHERE a <= coalesce(z - 1, octet_length(b))), '') AS kept FROM p JOIN b USING (rid) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_spans, sum(y - x) AS n_removed FROM s GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM b LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
+"""

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from peltrane.llm import suffix_dedup as s
@@ -26,7 +27,7 @@ def made(texts, shape, ranges, run, size):
 
     count = 0
     for chunk in s._chunks(texts, shape, size):
-        doc, place, lo, hi, h = s.anchors([x[2] for x in chunk], shape)
+        doc, place, lo, hi, h, _ = s.anchors([x[2] for x in chunk], shape)
         for d, p, a, z, x in zip(doc.tolist(), place.tolist(), lo.tolist(), hi.tolist(), h.tolist(), strict=True):
             row, offset, _ = chunk[d]
             p += offset
@@ -88,9 +89,27 @@ def expected(docs):
 
 def test_query_on_awkward_rows(awkward):
     cut = awkward.where("text is null or length(text) < 100000")  # brute force keeps each window
-    out = s.suffix_dedup(cut, size=2000, run_entries=7, range_entries=5)
-    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    assert sorted(map(tuple, out.collect()), key=repr) == expected(cut.select("doc_id", "text").collect())
+    want = expected(cut.select("doc_id", "text").collect())
+    for hot in (0, 1, 20_000):  # from 0 on: all single windows, some, none
+        out = s.suffix_dedup(cut, size=2000, run_entries=7, range_entries=5, hot_contexts=hot)
+        assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        assert sorted(map(tuple, out.collect()), key=repr) == want
+
+
+def test_a_passage_with_ever_different_neighbours(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = make(500)
+    docs = spark.createDataFrame([(k, make(rng.randrange(350)) + passage + make(rng.randrange(350))) for k in range(40)], "doc_id long, text string")
+    want = expected(docs.collect())
+    for hot in (5, 20_000):
+        assert sorted((tuple(r) for r in s.suffix_dedup(docs, hot_contexts=hot).collect()), key=repr) == want
+
+
+def test_string_hashes():
+    data = np.frombuffer(b"abcabcXabc", dtype=np.uint8)
+    h = s.string_hashes(data, np.array([0, 3, 7, 6, 0]), np.array([3, 6, 10, 9, 2])).tolist()
+    assert h[0] == h[1] == h[2] and len(set(h)) == 3
 
 
 def test_query_on_documents(small):
