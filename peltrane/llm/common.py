@@ -67,6 +67,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def _straight(plan) -> bool:
+    """Whether a plan only selects and filters the rows of files."""
+    kids = plan.children()
+    return plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") and all(_straight(kids.apply(k)) for k in range(kids.size()))
+
+
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """A number for each row, repeated rows included. The same for each reading of the same files."""
+    """A number for each row, repeated rows included. The same in every job, executors lost in between or not.
+
+    Rows of files are numbered by the splits that they are read in. Those depend on the session's number of cores unless
+    the least number of splits is set, so it is set here, once a session. Other rows (of shuffles, say) have no lasting
+    order; they are written to the shared folder first.
+    """
+    spark, least = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if not (_straight(df._jdf.queryExecution().analyzed()) and df.inputFiles()):
+        df = materialize(df, "rows")
+    if spark.conf.get(least, None) is None:
+        spark.conf.set(least, str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def boxed(docs: DataFrame, *fields: str) -> tuple[DataFrame, list[Column], list[Column]]:
+    """docs as (_rid, _doc), so that no name of theirs can clash; the columns of the fields, and those that give docs back."""
+    names = docs.columns
+    box = with_row_id(docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("_doc")))
+    return box, [F.col(f"_doc.c{names.index(f)}") for f in fields], [F.col(f"_doc.c{i}").alias(c) for i, c in enumerate(names)]

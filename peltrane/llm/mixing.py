@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, with_row_id
+from .common import SPACE, boxed, materialize
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
 BLOCK_WORDS, SHARD_WORDS, SEED = 8, 1 << 20, 17
@@ -98,14 +98,14 @@ def mix_sizes(rows: DataFrame, *, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
     return run.withColumn("taken", taken.cast("long"))
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *own) -> DataFrame:
-    tie = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.col(source_col)).cast("binary"))
-    return materialize(docs.select(*own, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie")), "mix-sizes")
+def _sized(docs: DataFrame, key: Column, doc_id: Column, text: Column, source: Column) -> DataFrame:
+    tie = F.md5(F.concat_ws("|", doc_id.cast("string"), F.md5(text.cast("binary")), source).cast("binary"))
+    return materialize(docs.select(key, source.alias("_source"), word_count(text).alias("size"), tie.alias("_tie")), "mix-sizes")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    rows = _sized(docs, id_col, text_col, source_col, F.col(id_col).alias("doc_id"))
+    rows = _sized(docs, F.col(id_col).alias("doc_id"), F.col(id_col), F.col(text_col), F.col(source_col))
     return mix_sizes(rows, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -114,10 +114,10 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Only documents cut by an edge are rounded, two for each shard at most. What is decided is joined back by row number.
     """
-    rows = with_row_id(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")))
-    slim = _sized(with_row_id(docs), id_col, text_col, source_col, F.col("_rid"))
+    rows, fields, back = boxed(docs, id_col, text_col, source_col)
+    slim = _sized(rows, F.col("_rid"), *fields)
     copies = mix_sizes(slim, **options).where("taken > 0").select("_rid", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    return rows.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+    return rows.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*back)
 
 
 _HASH = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"

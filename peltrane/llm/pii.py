@@ -2,7 +2,7 @@
 
 Detection is one ordered alternation of bounded patterns (no pattern can run over a long text twice): e-mail addresses, hex
 secrets and access keys, card and account numbers, phone numbers, IPv4 addresses, social security numbers, IBANs, and names after a
-title. An entity is known by its canonical form (digits alone, or lower case), so spellings of one entity corefer: they get the
+title (up to three words, each an entity). An entity is known by its canonical form (digits alone, or lower case), so spellings of one entity corefer: they get the
 same surrogate, each in its own format.
 
 A surrogate is a keyed Feistel permutation of the canonical form's characters, each within its own class (digits, vowels,
@@ -26,13 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_now, let, materialize, with_row_id
+from .common import boxed, drop_now, let, materialize
 
 KEY = "surrogates-1"  # a parameter: whoever runs this sets their own
 ROUNDS, MAX_TWEAKS = 4, 24
 
 #: Titles before names, fixed values.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Herrn", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "Mlle", "Господин", "Госпожа")
+_WORD = r"\p{Lu}\p{Ll}{1,30}"
 #: (type, pattern), in order of priority. Every repetition is bounded or possessive.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
@@ -42,7 +43,7 @@ PATTERNS = (
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     ("phone", r"(?<![A-Za-z0-9.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![A-Za-z0-9])"),
     ("ip", r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])"),
-    ("name", rf"(?<=(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? )\p{{Lu}}\p{{Ll}}{{1,30}}+(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}}+){{0,2}}"),
+    ("name", rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? (?:{_WORD}[ -](?:{_WORD}[ -])?)?){_WORD}(?!\p{{Ll}})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Classes of characters that replace one another, fixed values.
@@ -129,7 +130,8 @@ def permuted(kind: Column, canon: Column, tweak: Column, key: str) -> Column:
 
 
 def restored(kind: Column, entity: Column, canon: Column) -> Column:
-    """A canonical form in the format of an entity: its separators and case."""
+    """A canonical form in the format of an entity: its separators and case (secrets without lower-case letters have none)."""
+    canon = F.when((kind == "secret") & (entity == F.upper(entity)), F.upper(canon)).otherwise(canon)
     skips = F.when(kind.isin("card", "ssn"), F.lit("[^0-9]")).when(kind == "phone", F.lit("[^0-9+]")).when(kind == "iban", F.lit(" ")).otherwise(F.lit("$^"))
     walk = F.aggregate(
         F.split(entity, ""),
@@ -174,9 +176,7 @@ def exceptions(entities: DataFrame, key: str, max_tweaks: int = MAX_TWEAKS) -> D
 
 def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, columns: bool = False) -> DataFrame:
     """doc_id, n_entities, kinds (distinct, sorted, comma-joined), text; with columns, the input's with text replaced."""
-    own = docs.columns if columns else [id_col, text_col]
-    rows = with_row_id(docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("_doc")))
-    text = F.col(f"_doc.c{own.index(text_col)}")
+    rows, (doc_id, text), back = boxed(docs if columns else docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col)
     every = rows.select("_rid", F.explode(_detected(text)).alias("e")).select("_rid", "e.kind", "e.canon")
     seen = materialize(every.distinct(), "entities")
     odd = materialize(exceptions(seen.select("kind", "canon").distinct(), key), "exceptions")
@@ -199,5 +199,5 @@ def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     done = joined.withColumn("_new", let(_detected(text), replaced))
     if columns:
-        return done.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(f"_doc.c{i}").alias(c) for i, c in enumerate(own)])
-    return done.select(F.col("_doc.c0").alias("doc_id"), F.col("_new.n").alias("n_entities"), F.col("_new.kinds").alias("kinds"), F.col("_new.text").alias("text"))
+        return done.select(*[F.col("_new.text").alias(c) if c == text_col else b for c, b in zip(docs.columns, back, strict=True)])
+    return done.select(doc_id.alias("doc_id"), F.col("_new.n").alias("n_entities"), F.col("_new.kinds").alias("kinds"), F.col("_new.text").alias("text"))

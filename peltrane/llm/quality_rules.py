@@ -88,7 +88,7 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
 def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_threshold: float = HOST_THRESHOLD, keep_columns: bool = False) -> DataFrame:
     """doc_id, the measures, base_failed, host_rate, kept; with keep_columns, the input's rows as a struct `_doc`, and `_kept`."""
     if keep_columns:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
     else:
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
     rows = materialize(rows.withColumn("_failed", base_failed("_m")), "quality")
@@ -102,7 +102,7 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
-    return quality_verdicts(docs, keep_columns=True, **options).where("_kept").select("_doc.*")
+    return quality_verdicts(docs, keep_columns=True, **options).where("_kept").select(*[F.col(f"_doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 ORACLE = rf"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_id
+from .common import boxed, materialize, with_row_id
 from .components import components
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
@@ -49,9 +49,9 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_rid (the row's number), the id column's values as doc_id, and fp: the fingerprint as a signed long."""
-    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))).select("_rid", "doc_id", "text")
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """rows (_rid, doc_id, text) to _rid, doc_id and fp: the fingerprint as a signed long."""
+    rows = rows.select("_rid", "doc_id", F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -104,7 +104,7 @@ def _named(rows: DataFrame, distance: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
-    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
+    rows = materialize(fingerprints(with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))), "simhash")
     named = _named(rows, distance)
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     table = named.join(firsts, "component").select("fp", "component_id")
@@ -113,10 +113,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """docs without all but one row of each component: the smallest id's (null last), of equal ids the first row's."""
-    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
+    whole, (doc_id, text), back = boxed(docs, id_col, text_col)
+    rows = materialize(fingerprints(whole.select("_rid", doc_id.alias("doc_id"), text.alias("text"))), "simhash")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid"))
     least = rows.groupBy("fp").agg(F.min(key).alias("least")).join(_named(rows, distance), "fp")
     kept = least.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_rid"))
     gone = materialize(rows.select("_rid").join(kept, "_rid", "left_anti"), "copies")
-    whole = with_row_id(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")))
-    return whole.join(gone, "_rid", "left_anti").select("_doc.*")
+    return whole.join(gone, "_rid", "left_anti").select(*back)
