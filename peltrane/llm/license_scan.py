@@ -1,7 +1,7 @@
 """License scans: ordered signature rules, gated by keywords, with overlaps resolved by priority and containment.
 
 The text is lower-cased (A-Z) and its words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` are joined by single blanks. A rule's pattern
-is tried only if its keyword stands in that text. Detections are intervals; in order of start, longer first, one that lies
+is tried only if its keyword stands in that text, and no keyword is looked for unless one pass finds a word of one. Detections are intervals; in order of start, longer first, one that lies
 within an earlier interval of a better tier, or of the same tier, is suppressed. What is left gives labels and the score:
 1.0, 0.8 or 0.5 for the best tier left, 0.0 for none. The base phrases are found at all their places, overlaps included;
 they are never suppressed.
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let
+from .license_rules import gate_pattern, gate_words
 from .license_rules import rules as all_rules
 
 #: The base phrases and labels of the contract, fixed values.
@@ -96,11 +97,11 @@ def scanned(text: Column, rules=None) -> Column:
     """A struct of n_words, the base phrases' places, the rules' labels, best tier and number of detections left."""
     rules = all_rules() if rules is None else rules
     table = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(label).alias("label"), F.lit(f" {k} ").alias("keyword"), F.lit(p).alias("pattern")) for t, label, k, p in rules])
-    gate = "|".join(sorted({k.split(" ")[0] for _, _, k, _ in rules}))
+    gate = gate_pattern(gate_words(rules))
 
     def with_norm(norm: Column) -> Column:
         tried = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
-        found = F.when(F.regexp_like(norm, F.lit(f" (?:{gate}) ")), F.flatten(F.transform(tried, lambda r: _intervals(norm, r))))
+        found = F.when(F.regexp_like(norm, F.lit(gate)), F.flatten(F.transform(tried, lambda r: _intervals(norm, r))))
         none = F.array().cast("array<struct<start:int,neg_end:int,tier:int,label:string>>")
         return F.struct(
             (F.when(norm == " ", F.lit(0)).otherwise(_blanks(norm) - 1)).cast("long").alias("n_words"),
