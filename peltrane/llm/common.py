@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_shared_dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="peltrane-")
+        own = tempfile.mkdtemp(prefix="peltrane-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark._own_shared_dir = found
         spark.sparkContext.setCheckpointDir(found)
     return found
