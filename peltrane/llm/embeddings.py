@@ -27,6 +27,7 @@ from .components import components
 
 COSINE, BLOCK_DIMS, WIDTH, SEED = 0.98, 8, 4.0, 5
 SLACK = 1e-9  # on squared distances, above the rounding of the rotation
+ROUNDING = 1e-3  # on squared distances in radii, above that of single precision
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -66,73 +67,66 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"_rid long, vec_id {kinds['vec_id']}, label {kinds['label']}, unit binary")
 
 
-def _cells(units: np.ndarray, budget: float, dims: int, width: float):
-    """For each block: block number, rows, whether it is the home cell, cell numbers, coordinates."""
+def _cells(units: np.ndarray, budget: float, dims: int, width: float, probes: bool):
+    """For each block: rows, whether it is the home cell, hashes of cells, coordinates in radii. Without probes, home cells alone."""
     d = units.shape[1]
     turned = units @ rotation(d)
     for k, (a, b) in enumerate(blocks(d, dims)):
-        x = turned[:, a:b]
-        radius = np.sqrt(budget * (b - a) / d + SLACK)
-        size = width * radius
-        home = np.floor(x / size).astype(np.int64)
-        low, high = np.floor((x - radius) / size).astype(np.int64), np.floor((x + radius) / size).astype(np.int64)
-        rows, cells = np.arange(len(x)), np.empty((len(x), 0), dtype=np.int64)
-        for j in range(b - a):  # a ball reaches at most two cells a coordinate, as cells are wider than it
-            two = low[rows, j] != high[rows, j]
-            cells = np.concatenate([np.column_stack([cells, low[rows, j]]), np.column_stack([cells[two], high[rows[two], j]])])
-            rows = np.concatenate([rows, rows[two]])
+        x = turned[:, a:b] / np.sqrt(budget * (b - a) / d + SLACK)
+        home = np.floor(x / width).astype(np.int64)
+        rows, cells = np.arange(len(x)), home
+        if probes:
+            low, high = np.floor((x - 1) / width).astype(np.int64), np.floor((x + 1) / width).astype(np.int64)
+            cells = np.empty((len(x), 0), dtype=np.int64)
+            for j in range(b - a):  # a ball reaches at most two cells a coordinate, as cells are wider than it
+                two = low[rows, j] != high[rows, j]
+                cells = np.concatenate([np.column_stack([cells, low[rows, j]]), np.column_stack([cells[two], high[rows[two], j]])])
+                rows = np.concatenate([rows, rows[two]])
         order = np.zeros(len(rows), dtype=np.int64)
         for j in range(b - a):
             order = np.where(order == 0, np.sign(cells[:, j] - home[rows, j]), order)
-        yield k, rows[order >= 0], order[order >= 0] == 0, cells[order >= 0], x
-
-
-def _cell_schema(dims: int) -> str:
-    return "label string, d int, block int, cell long, node long, home boolean, " + ", ".join(f"x{j} double" for j in range(dims))
+        rows, cells, order = rows[order >= 0], cells[order >= 0], order[order >= 0]
+        key = np.full(len(rows), d * 65_537 + k, dtype=np.uint64)
+        for j in range(b - a):
+            key = (key ^ (cells[:, j].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+        yield rows, order == 0, key, x.astype(np.float32)
 
 
-def cell_rows(classes: DataFrame, budget: float, dims: int, width: float) -> DataFrame:
-    """classes (node, label, unit) to the cells that each stands in or probes."""
+def cell_rows(classes: DataFrame, budget: float, dims: int, width: float, probes: bool) -> DataFrame:
+    """classes (node, label, unit) to the cells that each stands in or probes: key, node, home, coordinates in radii."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                node, label, unit = np.array(batch.column(0)), batch.column(1), batch.column(2).to_pylist()
+                node, label, unit = np.array(batch.column(0)), np.array(batch.column(1)).view(np.uint64), batch.column(2).to_pylist()
                 lengths = np.array([len(u) // 8 for u in unit])
                 for d in np.unique(lengths):
                     own = np.flatnonzero(lengths == d)
                     matrix = np.frombuffer(b"".join(unit[i] for i in own), dtype=np.float64).reshape(len(own), d)
-                    for k, rows, home, cells, x in _cells(matrix, budget, dims, width):
-                        key = np.zeros(len(rows), dtype=np.uint64)
-                        for j in range(cells.shape[1]):
-                            key = (key ^ (cells[:, j].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-                            key ^= key >> np.uint64(29)
-                        columns = [x[rows, j] if j < x.shape[1] else np.zeros(len(rows)) for j in range(dims)]
-                        yield pa.RecordBatch.from_arrays(
-                            [label.take(pa.array(own[rows])), pa.array(np.full(len(rows), d, np.int32)), pa.array(np.full(len(rows), k, np.int32)), pa.array(key.view(np.int64)), pa.array(node[own[rows]]), pa.array(home), *map(pa.array, columns)],
-                            names=["label", "d", "block", "cell", "node", "home", *[f"x{j}" for j in range(dims)]],
-                        )
+                    for rows, home, key, x in _cells(matrix, budget, dims, width, probes):
+                        key = (key ^ label[own[rows]]) * np.uint64(0x94D049BB133111EB)
+                        columns = [x[rows, j] if j < x.shape[1] else np.zeros(len(rows), np.float32) for j in range(dims)]
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[own[rows]]), pa.array(home), *map(pa.array, columns)], names=["key", "node", "home", *[f"x{j}" for j in range(dims)]])
 
-    return classes.select("node", F.col("label").cast("string"), "unit").mapInArrow(run, _cell_schema(dims))
+    schema = "key long, node long, home boolean, " + ", ".join(f"x{j} float" for j in range(dims))
+    return classes.select("node", F.xxhash64("label").alias("label"), "unit").mapInArrow(run, schema)
 
 
 def candidates(classes: DataFrame, budget: float, dims: int, width: float) -> DataFrame:
-    """(u, v), u < v: pairs of nodes within the budget in some block."""
-    cells = materialize(cell_rows(classes, budget, dims, width), "cells")
-    a, b = cells.where("home").alias("a"), cells.alias("b")
-    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") == F.col("b.cell"))
+    """(u, v), u < v: pairs of nodes within the budget in some block. Cells meet by a hash of label, block and cell numbers."""
+    a, b = (cell_rows(classes, budget, dims, width, probes).alias(n) for n, probes in (("a", False), ("b", True)))
     once = (~F.col("b.home") & (F.col("a.node") != F.col("b.node"))) | (F.col("a.node") < F.col("b.node"))
-    gap = sum((F.pow(F.col(f"a.x{j}") - F.col(f"b.x{j}"), 2) for j in range(dims)), F.lit(0.0))
-    first = F.col("a.block") * dims
-    room = F.lit(budget) * F.least(F.lit(dims), F.col("a.d") - first) / F.col("a.d") + SLACK
-    return a.join(b, same & once & (gap <= room)).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    gap = sum((F.pow(F.col(f"a.x{j}").cast("double") - F.col(f"b.x{j}"), 2) for j in range(dims)), F.lit(0.0))
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & once & (gap <= 1 + ROUNDING)).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
-    """The candidate pairs whose cosine, in double precision, reaches the threshold."""
-    units = classes.select("node", "unit")
-    both = pairs.join(units.withColumnsRenamed({"node": "u", "unit": "x"}), "u").join(units.withColumnsRenamed({"node": "v", "unit": "y"}), "v").select("u", "v", "x", "y")
+    """The candidate pairs of one label and dimension whose cosine, in double precision, reaches the threshold."""
+    units = classes.select("node", "label", "unit")
+    both = pairs.join(units.withColumnsRenamed({"node": "u", "label": "xl", "unit": "x"}), "u").join(units.withColumnsRenamed({"node": "v", "label": "yl", "unit": "y"}), "v")
+    both = both.where((F.col("xl") == F.col("yl")) & (F.octet_length("x") == F.octet_length("y"))).select("u", "v", "x", "y")
 
     def run(batches):
         for whole in batches:
