@@ -65,24 +65,26 @@ def _grams(data: bytes, size: int, include_last: bool) -> np.ndarray:
     return np.unique(wide).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :]
 
 
-def byte_ngrams(samples: DataFrame, *, sample: str, content: str, sizes=NGRAM_SIZES, include_last: bool = False) -> DataFrame:
-    """(sample, size, token binary) distinct. A sample is one row, so its distinct tokens need no shuffle."""
-    rows = samples.select(sample, content)
+def byte_ngrams(samples: DataFrame, *, sample: str, content: str, sizes=NGRAM_SIZES, include_last: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, carried columns, size, token binary) distinct. A sample is one row, so its distinct tokens need no shuffle."""
+    own = [sample, *carry]
+    rows = samples.select(content, *own)
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                data = b.column(1)[i].as_py() or b""
+                data = b.column(0)[i].as_py() or b""
                 for size in sizes:
                     grams = _grams(data, size, include_last)
-                    n = len(grams)
-                    for at in range(0, n, 1 << 20):
+                    for at in range(0, len(grams), 1 << 20):
                         part = np.ascontiguousarray(grams[at : at + (1 << 20)])
                         offsets = np.arange(0, part.size + 1, size, dtype=np.int32)
                         token = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(part)])
-                        yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(part)), pa.array(np.full(len(part), size, np.int32)), token], names=[sample, "size", "token"])
+                        beside = [pa.repeat(b.column(k + 1)[i], len(part)) for k in range(len(own))]
+                        yield pa.RecordBatch.from_arrays([*beside, pa.array(np.full(len(part), size, np.int32)), token], names=[*own, "size", "token"])
 
-    return rows.mapInArrow(run, f"`{sample}` {dict(rows.dtypes)[sample]}, size int, token binary")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", size int, token binary")
 
 
 def sequence_ngrams(sequences: DataFrame, *, sample: str, items: str, longest: int = SEQUENCE_MAX, include_last: bool = False) -> DataFrame:

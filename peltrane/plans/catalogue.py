@@ -120,9 +120,11 @@ def ngram_prevalence(spark, sf_dir):
 
 
 def _gram_gains(spark, sf_dir) -> DataFrame:
-    grams, known = _grams(spark, sf_dir), _prevalent_grams(spark, sf_dir)
-    kept = vocabulary.members(grams, known, on=("size", "token"))
-    return information.information_gain(kept, _files(spark, sf_dir).select("doc_id", "family"), sample="doc_id", label="family", by=("size", "token"))
+    """(size, token, df, ig) of the prevalent n-grams, in one pass over the files."""
+    files = _files(spark, sf_dir)
+    grams = tokens.byte_ngrams(files, sample="doc_id", content="content", carry=("family",))
+    n = files.count()
+    return information.labelled_gain(grams, files.select("doc_id", "family"), label="family", by=("size", "token"), bounds=vocabulary.absolute_bounds(n))
 
 
 def ig_ngram(spark, sf_dir):

@@ -76,17 +76,14 @@ class Pipeline:
         return vocabulary.top_share(df, self.config.string_share).select(F.lit("string").alias("kind"), F.encode("token", "UTF-8").alias("token"), "df")
 
     def gram_gains(self, train: DataFrame) -> DataFrame:
-        """Gains of the byte n-grams of a subsample that are neither rare nor everywhere."""
+        """Gains of the byte n-grams of a subsample that are neither rare nor everywhere, in one pass over it."""
         some = vocabulary.subsample(train.select(KEY, "family", "content"), self.config.sample_files, key=KEY, seed=self.config.seed)
         some = self._stored("sample", lambda: some)
-        grams = self._stored("sample_grams", lambda: self.grams(some))
-        df = vocabulary.document_frequency(grams, ("size", "token"))
-        known = vocabulary.prevalent(df, vocabulary.absolute_bounds(some.count()))
-        known = self._stored("sample_known", lambda: known)
-        if known.count() > self.config.sample_grams:
-            known = vocabulary.subsample(known.withColumn("_name", F.hex("token")), self.config.sample_grams, key="_name", seed=self.config.seed)
-        kept = vocabulary.members(grams, known, on=("size", "token"))
-        gains = information.information_gain(kept, some.select(KEY, "family"), sample=KEY, label="family", by=("size", "token"), base=self.config.ig_base)
+        grams = tokens.byte_ngrams(some, sample=KEY, content="content", include_last=self.config.include_last, carry=("family",))
+        gains = information.labelled_gain(grams, some.select(KEY, "family"), label="family", by=("size", "token"), bounds=vocabulary.absolute_bounds(some.count()), base=self.config.ig_base)
+        gains = self._stored("sample_gains", lambda: gains)
+        if gains.count() > self.config.sample_grams:
+            gains = vocabulary.subsample(gains.withColumn("_name", F.hex("token")), self.config.sample_grams, key="_name", seed=self.config.seed)
         return gains.select(F.lit("byte").alias("kind"), "token", "ig")
 
     def sequence_gains(self, train: DataFrame) -> DataFrame:

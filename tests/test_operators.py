@@ -90,6 +90,20 @@ def test_sparse_gain_is_dense_gain(spark):
     assert all(math.isclose(e[t], two[t] * math.log(2), abs_tol=1e-9) for t in two)
 
 
+def test_one_pass_gain_is_the_same(spark):
+    rng = random.Random(5)
+    labels = {s: rng.choice("xyz") for s in range(50)}
+    pairs = [(s, t, labels[s]) for s in labels for t in "abcdefgh" if rng.random() < 0.1 * (ord(t) - 95)]
+    found = spark.createDataFrame(pairs, "id int, token string, y string")
+    y = spark.createDataFrame(list(labels.items()), "id int, y string")
+    want = {r.token: r.ig for r in information.information_gain(found.drop("y"), y, sample="id", label="y").collect()}
+    df = Counter(t for _, t, _ in pairs)
+    got = {r.token: (r.df, r.ig) for r in information.labelled_gain(found, y, label="y").collect()}
+    assert {t: n for t, (n, _) in got.items()} == df and all(math.isclose(got[t][1], want[t], abs_tol=1e-9) for t in want)
+    some = {r.token for r in information.labelled_gain(found, y, label="y", bounds=(10, 30)).collect()}
+    assert some == {t for t, n in df.items() if 10 < n < 30}
+
+
 def test_tfidf_gain_is_zero_where_idf_is(spark):
     pairs = spark.createDataFrame([(s, "t", s + 1) for s in range(3)], "id int, token string, tf int")
     y = spark.createDataFrame([(s, s % 2) for s in range(4)], "id int, y int")
