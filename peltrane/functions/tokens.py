@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalars import strip
@@ -99,7 +99,14 @@ def sequence_ngrams(sequences: DataFrame, *, sample: str, items: str, longest: i
     return sequences.select(sample, F.explode(F.concat(*lists)).alias("token")).groupBy(sample, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def ordered_items(rows: DataFrame, *, sample: str, order: list[str], item: str) -> DataFrame:
-    """(sample, items): the items of each sample in order."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item"))))
-    return rows.groupBy(sample).agg(F.transform(packed, lambda x: x["_item"]).alias("items"))
+def row_ngrams(rows: DataFrame, *, sample: str, order: list[str], item: str, longest: int = SEQUENCE_MAX, include_last: bool = False) -> DataFrame:
+    """(sample, token, tf) as sequence_ngrams(), of items that are rows: a window, so no sample's rows are gathered in memory."""
+    w = Window.partitionBy(sample).orderBy(*order)
+    word = F.coalesce(F.col(item).cast("string"), F.lit(""))
+    steps = rows.select(sample, *[F.lead(word, k).over(w).alias(f"_w{k}") if k else word.alias("_w0") for k in range(longest)], *[F.lead(F.lit(True), k).over(w).alias(f"_more{k}") for k in range(1, longest + 1)])
+    grams = []
+    for n in range(1, longest + 1):
+        after = n - 1 if include_last else n  # how many rows must follow
+        gram = F.concat_ws(" ", *[F.col(f"_w{k}") for k in range(n)])
+        grams.append(F.when(F.col(f"_more{after}"), gram) if after else gram)
+    return steps.select(sample, F.explode(F.array_compact(F.array(*grams))).alias("token")).groupBy(sample, "token").agg(F.count(F.lit(1)).alias("tf"))

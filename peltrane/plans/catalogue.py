@@ -166,8 +166,7 @@ def ig_import(spark, sf_dir):
 
 def _sequences(spark, sf_dir) -> DataFrame:
     """(user_id, token, tf) of events in order."""
-    seq = tokens.ordered_items(_table(spark, sf_dir, "events"), sample="user_id", order=["ts", "event_id"], item="event_type")
-    return tokens.sequence_ngrams(seq, sample="user_id", items="items")
+    return tokens.row_ngrams(_table(spark, sf_dir, "events"), sample="user_id", order=["ts", "event_id"], item="event_type")
 
 
 def opcode_tf(spark, sf_dir):

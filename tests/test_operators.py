@@ -58,6 +58,17 @@ def test_sequence_ngrams(spark):
     assert full[1, "a b"] == 2 and full[1, "b a b"] == 1 and full[2, "a"] == 1
 
 
+def test_row_ngrams_are_sequence_ngrams(spark):
+    rng = random.Random(7)
+    lists = {k: [rng.choice("abc") for _ in range(n)] for k, n in enumerate([0, 1, 2, 3, 4, 40])}
+    rows = spark.createDataFrame([(k, i, x) for k, xs in lists.items() for i, x in enumerate(xs)], "id int, at int, item string").repartition(3)
+    arrays = spark.createDataFrame(list(lists.items()), "id int, items array<string>")
+    for last in (False, True):
+        one = tokens.row_ngrams(rows, sample="id", order=["at"], item="item", include_last=last)
+        two = tokens.sequence_ngrams(arrays, sample="id", items="items", include_last=last)
+        assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()}
+
+
 def test_names(spark):
     names = ["KERNEL32.DLL", "a.drv", "b.dll.x", "", "x"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", scalars.dll_name(F.col("n")).alias("d"))
