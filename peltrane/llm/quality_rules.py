@@ -92,7 +92,7 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     else:
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
     rows = materialize(rows.withColumn("_failed", base_failed("_m")), "quality")
-    hosts = host_rates(rows, "_source", "_failed").select("_host", "host_rate")
+    hosts = materialize(host_rates(rows, "_source", "_failed").select("_host", "host_rate"), "hosts")  # its size is then known
     joined = rows.join(hosts, F.col("_source").eqNullSafe(F.col("_host")), "left")
     kept = ~F.col("_failed") & (F.col("host_rate") <= host_threshold)
     if keep_columns:
