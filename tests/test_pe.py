@@ -182,6 +182,21 @@ def test_pipeline_end_to_end(spark, corpus):
     assert wide.count() == 24
 
 
+def test_command_line_without_a_disassembler(spark, corpus, monkeypatch):
+    from peltrane.__main__ import main
+
+    path, split = corpus
+    monkeypatch.setenv("MALWARE_DIR_PATH", f"file://{path}/files")
+    monkeypatch.setenv("SPLITTED_DATASET_PATH", f"file://{path}/split")
+    monkeypatch.setenv("FINAL_DATASET_DIR", "final")
+    monkeypatch.setattr(disassembly.capstone_decoder, "__code__", (lambda machine, code, address: __import__("no_such_disassembler")).__code__)
+    main(["--experiment", f"file://{path}/cli", "--other", "ignored"])
+    out = spark.read.parquet(f"file://{path}/cli/final")
+    assert out.count() == len(split) and "opcodes" not in out.columns and "ngrams" in out.columns
+    errors = spark.read.parquet(f"file://{path}/cli/parsed").select("ops.error").distinct().collect()
+    assert [r.error for r in errors] == ["no disassembler"]
+
+
 def test_files_and_stream_agree(spark, corpus):
     path, split = corpus
     files = samples.read_files(spark, f"file://{path}/files")
