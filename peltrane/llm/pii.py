@@ -39,7 +39,7 @@ PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,256}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}+)(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("card", r"(?<![A-Za-z0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"),
+    ("card", r"(?<![A-Za-z0-9.])(?:[0-9]{13,19}+|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{3})?|[0-9]{4}(?:-[0-9]{4}){3}(?:-[0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])"),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
     ("phone", r"(?<![A-Za-z0-9.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![A-Za-z0-9])"),
     ("ip", r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])"),
@@ -49,14 +49,19 @@ ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Classes of characters that replace one another, fixed values.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äöü", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
 HEX = "0123456789abcdef"
+NONE = "none"
 
 
 def kind_of(entity: Column) -> Column:
-    """The type of a detected entity: the first whose pattern it is. Look-behinds see only the entity, so names come last."""
+    """The type of a detected entity: the first whose pattern it is. Look-behinds see only the entity, so names come last.
+
+    Digits in groups are a card number only with the Luhn sum of one (four years in a row are none); they are then of type none.
+    """
     out = F.lit("name")
     for name, pattern in reversed(PATTERNS[:-1]):
         out = F.when(F.regexp_like(entity, F.lit(f"^(?:{pattern})$")), F.lit(name)).otherwise(out)
-    return out
+    grouped = F.regexp_like(entity, F.lit("[ -]"))
+    return F.when((out == "card") & grouped & (_luhn(F.transform(F.split(F.regexp_replace(entity, "[^0-9]", ""), ""), lambda c: c.cast("int"))) != 0), F.lit(NONE)).otherwise(out)
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -148,7 +153,9 @@ def _detected(text: Column) -> Column:
     """Entities of a text in order, as an array of (kind, entity, canonical form); empty if there is none."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     known = F.transform(found, lambda e: let(kind_of(e), lambda k: F.struct(k.alias("kind"), e.alias("entity"), canonical(k, e).alias("canon"))))
-    likely = F.regexp_like(text, F.lit(r"[0-9@]|(?:" + "|".join(TITLES) + r")\.? \p{Lu}|[A-Za-z0-9]{20}"))
+    likely = F.lit(False)  # three cheap patterns, one of which each entity holds
+    for sign in ("[0-9@]", rf"(?=[{''.join(sorted({t[0] for t in TITLES}))}])(?:{'|'.join(TITLES)})\.? \p{{Lu}}", "(?<![A-Za-z0-9])[A-Za-z0-9]{20}"):
+        likely = likely | F.regexp_like(text, F.lit(sign))
     return F.coalesce(F.when(likely, known), F.array().cast("array<struct<kind:string,entity:string,canon:string>>"))
 
 
@@ -177,7 +184,7 @@ def exceptions(entities: DataFrame, key: str, max_tweaks: int = MAX_TWEAKS) -> D
 def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, columns: bool = False) -> DataFrame:
     """doc_id, n_entities, kinds (distinct, sorted, comma-joined), text; with columns, the input's with text replaced."""
     rows, (doc_id, text), back = boxed(docs if columns else docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col)
-    every = rows.select("_rid", F.explode(_detected(text)).alias("e")).select("_rid", "e.kind", "e.canon")
+    every = rows.select("_rid", F.explode(_detected(text)).alias("e")).select("_rid", "e.kind", "e.canon").where(F.col("kind") != NONE)
     seen = materialize(every.distinct(), "entities")
     odd = materialize(exceptions(seen.select("kind", "canon").distinct(), key), "exceptions")
     name = lambda k, c: F.concat(k, F.lit("|"), c)
@@ -189,13 +196,14 @@ def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def swapped(e: Column) -> Column:
         tweak = F.coalesce(F.try_element_at(F.col("_odd"), name(e["kind"], e["canon"])), F.lit(0))
-        return restored(e["kind"], e["entity"], permuted(e["kind"], e["canon"], tweak, key))
+        return F.when(e["kind"] == NONE, e["entity"]).otherwise(restored(e["kind"], e["entity"], permuted(e["kind"], e["canon"], tweak, key)))
 
     def replaced(found: Column) -> Column:
+        real = F.filter(found, lambda e: e["kind"] != NONE)
         gaps = F.split(text, ANY, -1)
         pieces = F.zip_with(gaps, F.concat(F.transform(found, swapped), F.array(F.lit(""))), lambda g, s: F.array(g, s))
-        kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda e: e["kind"]))), ",")
-        return F.struct(F.size(found).cast("long").alias("n"), kinds.alias("kinds"), F.when(F.size(found) == 0, text).otherwise(F.array_join(F.flatten(pieces), "")).alias("text"))
+        kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(real, lambda e: e["kind"]))), ",")
+        return F.struct(F.size(real).cast("long").alias("n"), kinds.alias("kinds"), F.when(F.size(found) == 0, text).otherwise(F.array_join(F.flatten(pieces), "")).alias("text"))
 
     done = joined.withColumn("_new", let(_detected(text), replaced))
     if columns:

@@ -65,7 +65,7 @@ def test_other_key_other_surrogates(spark):
 
 
 def test_clean_texts_and_nulls_stay(spark):
-    texts = ["In 1999 there were 12,345 cases (3.14) at 10:30 on 2024-01-02.", None, "", "v1.2.3.4.5", "a@b", "x" * 200_000, "1" * 5000, "a." * 30_000 + "@"]
+    texts = ["In 1999 there were 12,345 cases (3.14) at 10:30 on 2024-01-02.", None, "", "v1.2.3.4.5", "in 2024 2023 2022 2020 and 1-2-3-4", "1111-2222-3333-4445", "a@b", "x" * 200_000, "1" * 5000, "a." * 30_000 + "@"]
     assert run(spark, texts) == texts
 
 
