@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import materialize, with_row_id
 
 LENGTH, SPAN, GRAM = 400, 300, 8
-CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 2 << 20, 60_000, 50_000, 20_000
+CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 20, 60_000, 50_000, 20_000
 PAIRS_UP_TO = 12  # entries of a group that are compared two by two; larger groups go by classes
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
