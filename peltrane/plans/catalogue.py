@@ -30,7 +30,12 @@ def _split(column) -> F.Column:
 
 def _files(spark, sf_dir) -> DataFrame:
     """documents as files: doc_id, family, content."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("family"), F.col("text").cast("binary").alias("content"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("family"), F.col("text").cast("binary").alias("content"))
+    return samples.spread(d)
+
+
+def _families(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("family"))
 
 
 def _r6(c) -> F.Column:
@@ -123,8 +128,8 @@ def _gram_gains(spark, sf_dir) -> DataFrame:
     """(size, token, df, ig) of the prevalent n-grams, in one pass over the files."""
     files = _files(spark, sf_dir)
     grams = tokens.byte_ngrams(files, sample="doc_id", content="content", carry=("family",))
-    n = files.count()
-    return information.labelled_gain(grams, files.select("doc_id", "family"), label="family", by=("size", "token"), bounds=vocabulary.absolute_bounds(n))
+    n = _table(spark, sf_dir, "documents").count()
+    return information.labelled_gain(grams, _families(spark, sf_dir), label="family", by=("size", "token"), bounds=vocabulary.absolute_bounds(n))
 
 
 def ig_ngram(spark, sf_dir):
@@ -249,7 +254,7 @@ def vocab_semi(spark, sf_dir):
 
 def pad_presence(spark, sf_dir):
     words = [r["token"] for r in _top_strings(spark, sf_dir).collect()]  # PAD_TOP rows
-    padded = padding.pad_presence(_files(spark, sf_dir).select("doc_id"), _strings(spark, sf_dir), words, sample="doc_id")
+    padded = padding.pad_presence(_families(spark, sf_dir).select("doc_id"), _strings(spark, sf_dir), words, sample="doc_id")
     return padded.select("doc_id", padding.bits_text(F.col("features")).alias("features"))
 
 

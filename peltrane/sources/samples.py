@@ -20,6 +20,15 @@ def located(files: DataFrame) -> DataFrame:
     return files.select(F.element_at(parts, -1).alias("sha256"), F.element_at(parts, -2).alias("family"), "length", "content")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows of fewer files than the session has cores are dealt to all cores; of more files, they stay as read.
+
+    A table of many files (any large one) is never shuffled by this. Row numbers are to be given before.
+    """
+    cores, files = frame.sparkSession.sparkContext.defaultParallelism, len(frame._jdf.inputFiles())
+    return frame.repartition(cores) if 0 < files < cores else frame
+
+
 def join_labels(features: DataFrame, labels: DataFrame, key: str = "sha256") -> DataFrame:
     """Inner: samples without a label go; repeated keys multiply."""
     return features.join(labels, key, "inner")
