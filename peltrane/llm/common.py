@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.samples import spread  # noqa: F401  used by the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts, as a Java and RE2 class body.
 SPACE = r"\x20\x09-\x0D"
@@ -84,7 +86,7 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     order; they are written to the shared folder first.
     """
     spark, least = df.sparkSession, "spark.sql.files.minPartitionNum"
-    if not (_straight(df._jdf.queryExecution().analyzed()) and df.inputFiles()):
+    if not (_straight(df._jdf.queryExecution().analyzed()) and len(df._jdf.inputFiles())):
         df = materialize(df, "rows")
     if spark.conf.get(least, None) is None:
         spark.conf.set(least, str(spark.sparkContext.defaultParallelism))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, spread
 from .license_rules import gate_pattern, gate_words
 from .license_rules import rules as all_rules
 
@@ -114,7 +114,8 @@ def scanned(text: Column, rules=None) -> Column:
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules=None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
-    s = docs.select(F.col(id_col).alias("doc_id"), scanned(F.col(text_col), rules).alias("s"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    s = rows.select("doc_id", scanned(F.col("text"), rules).alias("s"))
     base = F.filter(F.transform(F.col("s.base"), lambda b, i: F.when(b.isNotNull(), F.get(F.array(*[F.lit(x) for _, x in BASE]), i))), lambda x: x.isNotNull())
     places = F.filter(F.col("s.base"), lambda b: b.isNotNull())
     best = F.least(F.col("s.found.best"), F.when(F.size(base) > 0, F.lit(2)).otherwise(F.lit(4)))

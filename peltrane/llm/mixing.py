@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, materialize
+from .common import SPACE, boxed, materialize, spread
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
 BLOCK_WORDS, SHARD_WORDS, SEED = 8, 1 << 20, 17
@@ -105,7 +105,7 @@ def _sized(docs: DataFrame, key: Column, doc_id: Column, text: Column, source: C
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    rows = _sized(docs, F.col(id_col).alias("doc_id"), F.col(id_col), F.col(text_col), F.col(source_col))
+    rows = _sized(spread(docs.select(*dict.fromkeys([id_col, text_col, source_col]))), F.col(id_col).alias("doc_id"), F.col(id_col), F.col(text_col), F.col(source_col))
     return mix_sizes(rows, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -115,7 +115,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Only documents cut by an edge are rounded, two for each shard at most. What is decided is joined back by row number.
     """
     rows, fields, back = boxed(docs, id_col, text_col, source_col)
-    slim = _sized(rows, F.col("_rid"), *fields)
+    slim = _sized(spread(rows), F.col("_rid"), *fields)
     copies = mix_sizes(slim, **options).where("taken > 0").select("_rid", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
     return rows.join(copies, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*back)
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, drop_now, let, materialize
+from .common import boxed, drop_now, let, materialize, spread
 
 KEY = "surrogates-1"  # a parameter: whoever runs this sets their own
 ROUNDS, MAX_TWEAKS = 4, 24
@@ -184,6 +184,7 @@ def exceptions(entities: DataFrame, key: str, max_tweaks: int = MAX_TWEAKS) -> D
 def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, columns: bool = False) -> DataFrame:
     """doc_id, n_entities, kinds (distinct, sorted, comma-joined), text; with columns, the input's with text replaced."""
     rows, (doc_id, text), back = boxed(docs if columns else docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col)
+    rows = spread(rows)
     every = rows.select("_rid", F.explode(_detected(text)).alias("e")).select("_rid", "e.kind", "e.canon").where(F.col("kind") != NONE)
     seen = materialize(every.distinct(), "entities")
     odd = materialize(exceptions(seen.select("kind", "canon").distinct(), key), "exceptions")

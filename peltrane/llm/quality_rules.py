@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialize
+from .common import SPACE, let, materialize, spread
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 HOST_THRESHOLD = 0.8
@@ -88,9 +88,9 @@ def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
 def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_threshold: float = HOST_THRESHOLD, keep_columns: bool = False) -> DataFrame:
     """doc_id, the measures, base_failed, host_rate, kept; with keep_columns, the input's rows as a struct `_doc`, and `_kept`."""
     if keep_columns:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
+        rows = spread(docs).select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
     else:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
+        rows = spread(docs.select(*dict.fromkeys([id_col, host_col, text_col]))).select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
     rows = materialize(rows.withColumn("_failed", base_failed("_m")), "quality")
     hosts = materialize(host_rates(rows, "_source", "_failed").select("_host", "host_rate"), "hosts")  # its size is then known
     joined = rows.join(hosts, F.col("_source").eqNullSafe(F.col("_host")), "left")

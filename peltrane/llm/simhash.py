@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, materialize, with_row_id
+from .common import boxed, materialize, spread, with_row_id
 from .components import components
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
@@ -51,7 +51,7 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(rows: DataFrame) -> DataFrame:
     """rows (_rid, doc_id, text) to _rid, doc_id and fp: the fingerprint as a signed long."""
-    rows = rows.select("_rid", "doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    rows = spread(rows.select("_rid", "doc_id", "text")).select("_rid", "doc_id", F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:

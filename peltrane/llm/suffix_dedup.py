@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_id
+from .common import materialize, spread, with_row_id
 
 LENGTH, SPAN, GRAM = 400, 300, 8
 CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 20, 60_000, 50_000, 20_000
@@ -402,7 +402,7 @@ def _with_texts(found: DataFrame, rows: DataFrame) -> DataFrame:
 
 def candidates(rows: DataFrame, shape: Shape, size: int, hot_contexts: int) -> DataFrame:
     """(h, _rid, place, lo, hi): the anchors whose windows may repeat, those of hot hashes as single windows."""
-    every = materialize(anchor_rows(rows, shape, size), "anchors")
+    every = materialize(anchor_rows(spread(rows), shape, size), "anchors")
     found = _met(every)
     distinct = every.groupBy("h", "context").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(distinct.where(F.col("n") > hot_contexts).select("h"), "hashes-hot")

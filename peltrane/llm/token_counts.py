@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 CACHE_WORDS = 200_000
 
 
@@ -103,7 +105,7 @@ def greedy_pieces(word: bytes, pieces: frozenset[bytes]) -> list[bytes]:
 
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pieces: list[bytes] | None = None, cache: int = CACHE_WORDS) -> DataFrame:
     """doc_id, n_words, n_tokens, max_word_tokens."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(pieces if pieces is not None else vocabulary())
 
     def run(batches):
