@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread, with_row_id
+from .common import drop_now, materialize, spread, with_row_id
 
 LENGTH, SPAN, GRAM = 400, 300, 8
 CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 20, 60_000, 50_000, 20_000
@@ -389,10 +389,10 @@ def spans_of(pairs) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _met(every: DataFrame) -> DataFrame:
+def _met(every: DataFrame, spare: list[DataFrame]) -> DataFrame:
     """The anchors whose hash occurs twice or more. Both sides of the join are read from tables, so hot hashes are split."""
-    twice = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes-met")
-    return every.join(twice, "h", "left_semi")
+    spare.append(materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes-met"))
+    return every.join(spare[-1], "h", "left_semi")
 
 
 def _with_texts(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -403,13 +403,20 @@ def _with_texts(found: DataFrame, rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, shape: Shape, size: int, hot_contexts: int) -> DataFrame:
     """(h, _rid, place, lo, hi): the anchors whose windows may repeat, those of hot hashes as single windows."""
     every = materialize(anchor_rows(spread(rows), shape, size), "anchors")
-    found = _met(every)
+    spare = [every]  # tables that nothing reads once the anchors met are written
+    found = _met(every, spare)
     distinct = every.groupBy("h", "context").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(distinct.where(F.col("n") > hot_contexts).select("h"), "hashes-hot")
+    spare.append(hot)
     if hot.isEmpty():
-        return materialize(found.drop("context"), "anchors-met")
-    windows = materialize(window_rows(_with_texts(found.join(hot, "h", "left_semi").drop("context"), rows), shape), "windows")
-    return materialize(found.join(hot, "h", "left_anti").drop("context").unionByName(_met(windows)), "anchors-met")
+        out = materialize(found.drop("context"), "anchors-met")
+    else:
+        windows = materialize(window_rows(_with_texts(found.join(hot, "h", "left_semi").drop("context"), rows), shape), "windows")
+        spare.append(windows)
+        out = materialize(found.join(hot, "h", "left_anti").drop("context").unionByName(_met(windows, spare)), "anchors-met")
+    for t in spare:
+        drop_now(t)
+    return out
 
 
 def repeated_spans(rows: DataFrame, *, length: int = LENGTH, span: int = SPAN, size: int = CHUNK_BYTES, run_entries: int = RUN_ENTRIES, range_entries: int = RANGE_ENTRIES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -418,8 +425,9 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, span: int = SPAN, s
     found = candidates(rows, shape, size, hot_contexts)
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // range_entries))
     blocks = run_rows(_with_texts(found, rows), shape, ranges, run_entries)
-    covered = covered_rows(blocks.repartition(ranges, "range"), shape)
-    return materialize(covered, "covered").groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    covered = materialize(covered_rows(blocks.repartition(ranges, "range"), shape), "covered")
+    drop_now(found)
+    return covered.groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
