@@ -89,14 +89,14 @@ SENTENCES = (
     ("cc0", "no rights reserved", "no rights reserved"),
     ("reserved", "some rights reserved", "some rights reserved"),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("copyright", "copyright", "copyright (?:c |by |holder|notice|owner)"),
+    ("copyright", "copyright", "copyright (?:c|by|holder|notice|owner)"),
     ("proprietary", "proprietary", "proprietary and confidential"),
     ("proprietary", "confidential", "confidential and proprietary"),
     ("proprietary", "unauthorized", "unauthorized (?:copying|use|distribution|reproduction)"),
-    ("no-derivatives", "without permission", "may not be reproduced(?: [^ ]+){0,12} without (?:prior )?(?:written )?permission"),
+    ("no-derivatives", "may not be reproduced", "may not be reproduced(?: [^ ]+){0,12} without (?:prior )?(?:written )?permission"),
     ("warranty", "provided", "provided (?:by [^ ]+(?: [^ ]+){0,4} )?as is"),
     ("warranty", "without warranty", "without warranty of any kind"),
-    ("licensed", "licensed under", "licensed under (?:the )?(?:terms of )?"),
+    ("licensed", "licensed under", "licensed under(?: the)?(?: terms of)?"),
 )
 
 
@@ -117,12 +117,13 @@ def rules() -> list[tuple[int, str, str, str]]:
     """All rules by priority: hundreds, made from the tables above."""
     out = []
     for label, name, shorts, versions in FAMILIES:
-        out.append((1, label, "spdx license identifier", f"spdx license identifier {label}"))
+        tag = label.replace("-", " ")
+        out.append((1, label, "spdx license identifier", f"spdx license identifier {tag}"))
         out.append((2, label, name, name))
         out += [(3, label, s, s if " " in s else f"{s} v?[0-9](?: [0-9])?") for s in shorts]
         for v in filter(None, versions):
             dated = f"{label}-{v.replace(' ', '-' if 'clause' in v else '.')}"
-            out.append((1, dated, "spdx license identifier", f"spdx license identifier {label} {v}(?: only| or later)?"))
+            out.append((1, dated, "spdx license identifier", f"spdx license identifier {tag} {v}(?: only| or later)?"))
             out += [(2, dated, form, f"{form}(?: version| v)? {v}") for form in (name, *shorts)]
     for code, name in CC:
         tag = "cc-" + code.replace(" ", "-")

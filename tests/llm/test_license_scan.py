@@ -71,3 +71,42 @@ def test_there_are_hundreds_of_rules_and_all_compile(spark):
 
 def test_empty(empty):
     assert s.license_scan(empty).count() == 0
+
+
+def examples(pattern):
+    """Texts of a pattern: each branch, each repetition at its least and at one or more."""
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                new = [chr(arg)]
+            elif op == "BRANCH":
+                new = [x for branch in arg[1] for x in of(branch)]
+            elif op == "SUBPATTERN":
+                new = of(arg[3])
+            elif op == "MAX_REPEAT":
+                new = [x * n for n in {arg[0], max(1, arg[0])} for x in of(arg[2])]
+            elif op == "IN":
+                new = ["x" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1][0])]
+            elif op == "NOT_LITERAL":
+                new = ["x"]
+            out = [a + b for a in out for b in new]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_each_rule_matches_texts_made_for_it():
+    gate = s.gate_pattern(s.gate_words(rules()))
+    for _, label, keyword, pattern in rules():
+        for text in examples(pattern):
+            assert re.sub(s.NON_WORD, " ", text).strip() == text, (label, pattern)
+            assert re.match(f" (?:{pattern})(?= )", f" {text} "), (label, text)
+            assert f" {keyword} " in f" {text} " and re.search(gate, f" {text} "), (label, text)
+
+
+def test_rules_behind_the_gate(spark):
+    texts = ["may not be reproduced without prior written permission of X", "It may not be reproduced without written permission.", "licensed under these conditions", "copyright by X", "Copyright (c) Foo", "SPDX-License-Identifier: ODC-By-1.0", "SPDX-License-Identifier: MS-PL"]
+    assert [r.labels for r in scan(spark, texts)] == ["no-derivatives", "no-derivatives", "licensed", "copyright", "copyright", "odc-by-1.0", "ms-pl"]
