@@ -12,8 +12,8 @@ title before it) stay too, and a card number that satisfies the Luhn sum still d
 
 Collision check, over the table of distinct entities: a surrogate that is itself an entity of the table, or that another entity
 already has, is drawn again with the next tweak until none is left. Only those exceptions are joined back to the texts;
-all other surrogates are computed in place. If a format has so few members that `max_tweaks` draws don't free an entity, it
-keeps the last draw that differs from itself.
+all other surrogates are computed in place. If a format has so few members that `max_tweaks` draws don't free an entity, all
+entities of the format get one common tweak, so they stay distinct; of several, the one that leaves fewest entities as they are.
 
 All in Spark's own expressions; texts are not shuffled unless there are more exceptions than Spark broadcasts.
 
@@ -30,6 +30,7 @@ from .common import boxed, drop_now, let, materialize, spread
 
 KEY = "surrogates-1"  # a parameter: whoever runs this sets their own
 ROUNDS, MAX_TWEAKS = 4, 24
+COMMON_TWEAKS = 32  # that a format without free members chooses from
 
 #: Titles before names, fixed values.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Herrn", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "Mlle", "Господин", "Госпожа")
@@ -159,6 +160,28 @@ def _detected(text: Column) -> Column:
     return F.coalesce(F.when(likely, known), F.array().cast("array<struct<kind:string,entity:string,canon:string>>"))
 
 
+def format_of(kind: Column, canon: Column) -> Column:
+    """What a surrogate keeps: the classes of the characters that change, and the others. Each tweak permutes a format's members."""
+
+    def part(c: Column, i: Column) -> Column:
+        stays = _fixed(kind, canon, i) & (kind != "card")  # a card's last digit follows the others
+        return let(_class_of(kind, c), lambda a: F.when(stays | (a == ""), F.concat(F.lit("="), c)).otherwise(F.substring(a, 1, 2)))
+
+    return F.when(kind == "ip", F.lit("ip")).otherwise(F.concat(kind, F.lit("|"), F.array_join(F.transform(F.split(canon, ""), part), "")))
+
+
+def _common(now: DataFrame, bad: DataFrame, draw, first: int) -> DataFrame:
+    """now, with one tweak for all entities of each format that has a bad one."""
+    shaped = now.withColumn("format", format_of(F.col("kind"), F.col("canon")))
+    full = shaped.join(bad, ["kind", "canon"], "left_semi").select("format").distinct()
+    members = materialize(shaped.join(full, "format", "left_semi").select("format", "kind", "canon"), "full-formats")
+    tries = draw(members.withColumn("tweak", F.explode(F.sequence(F.lit(first), F.lit(first + COMMON_TWEAKS - 1)))))
+    left = tries.groupBy("format", "tweak").agg(F.sum((F.col("surrogate") == F.col("canon")).cast("int")).alias("same"))
+    best = left.groupBy("format").agg(F.min(F.struct("same", "tweak")).alias("best")).select("format", F.col("best.tweak").alias("tweak"))
+    again = members.join(best, "format").select("kind", "canon", "tweak")
+    return now.join(members, ["kind", "canon"], "left_anti").select("kind", "canon", "tweak").unionByName(again)
+
+
 def exceptions(entities: DataFrame, key: str, max_tweaks: int = MAX_TWEAKS) -> DataFrame:
     """entities: distinct (kind, canon). Returns (kind, canon, tweak) for those whose first surrogate collides."""
     draw = lambda d: d.withColumn("surrogate", permuted(F.col("kind"), F.col("canon"), F.col("tweak"), key))
@@ -170,14 +193,13 @@ def exceptions(entities: DataFrame, key: str, max_tweaks: int = MAX_TWEAKS) -> D
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("tweak", "canon")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = now.join(first, ["kind", "surrogate"]).where("canon <> first.canon").select("kind", "canon")
         bad = materialize(met.unionByName(twice).distinct(), "collisions")
-        if bad.isEmpty() or tried == max_tweaks:
+        if bad.isEmpty():
             drop_now(bad)
             return now.where("tweak > 0").select("kind", "canon", "tweak")
+        if tried == max_tweaks:
+            return _common(now, bad, draw, max_tweaks + 1).where("tweak > 0")
         tried += 1
         again = draw(now.join(bad, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("tweak") + 1).alias("tweak")))
-        if tried == max_tweaks:  # at least not the entity itself
-            again = again.withColumn("tweak", F.when(F.col("surrogate") == F.col("canon"), F.col("tweak") + 1).otherwise(F.col("tweak")))
-            again = draw(again.drop("surrogate"))
         now = materialize(now.join(bad, ["kind", "canon"], "left_anti").unionByName(again.select(now.columns)), "surrogates")
 
 
