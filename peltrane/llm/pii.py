@@ -47,6 +47,8 @@ PATTERNS = (
     ("name", rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? (?:{_WORD}[ -](?:{_WORD}[ -])?)?){_WORD}(?!\p{{Ll}})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: 13 to 19 digits in any grouping, looked for between the entities of the other patterns; the Luhn sum alone decides.
+GROUPED = r"(?<![A-Za-z0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 #: Classes of characters that replace one another, fixed values.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äöü", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
 HEX = "0123456789abcdef"
@@ -182,6 +184,22 @@ def _common(now: DataFrame, bad: DataFrame, draw, first: int) -> DataFrame:
     return now.join(members, ["kind", "canon"], "left_anti").select("kind", "canon", "tweak").unionByName(again)
 
 
+def _grouped(text: Column) -> Column:
+    """For each gap between the entities of _detected(), its card numbers in any grouping, as there; null if the text has no such digits."""
+
+    def known(e: Column) -> Column:
+        digits = F.regexp_replace(e, "[^0-9]", "")
+        valid = _luhn(F.transform(F.split(digits, ""), lambda c: c.cast("int"))) == 0
+        return F.struct(F.when(valid, F.lit("card")).otherwise(F.lit(NONE)).alias("kind"), e.alias("entity"), digits.alias("canon"))
+
+    each = F.transform(F.split(text, ANY, -1), lambda g: F.transform(F.regexp_extract_all(g, F.lit(GROUPED), F.lit(0)), known))
+    return F.when(F.regexp_like(text, F.lit(GROUPED)), each)
+
+
+def _all(found: Column, cards: Column) -> Column:
+    return F.when(cards.isNull(), found).otherwise(F.concat(found, F.flatten(cards)))
+
+
 def exceptions(entities: DataFrame, key: str, max_tweaks: int = MAX_TWEAKS) -> DataFrame:
     """entities: distinct (kind, canon). Returns (kind, canon, tweak) for those whose first surrogate collides."""
     draw = lambda d: d.withColumn("surrogate", permuted(F.col("kind"), F.col("canon"), F.col("tweak"), key))
@@ -207,7 +225,7 @@ def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_entities, kinds (distinct, sorted, comma-joined), text; with columns, the input's with text replaced."""
     rows, (doc_id, text), back = boxed(docs if columns else docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col)
     rows = spread(rows)
-    every = rows.select("_rid", F.explode(_detected(text)).alias("e")).select("_rid", "e.kind", "e.canon").where(F.col("kind") != NONE)
+    every = rows.select("_rid", F.explode(let(_grouped(text), lambda c: _all(_detected(text), c))).alias("e")).select("_rid", "e.kind", "e.canon").where(F.col("kind") != NONE)
     seen = materialize(every.distinct(), "entities")
     odd = materialize(exceptions(seen.select("kind", "canon").distinct(), key), "exceptions")
     name = lambda k, c: F.concat(k, F.lit("|"), c)
@@ -221,14 +239,18 @@ def surrogates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         tweak = F.coalesce(F.try_element_at(F.col("_odd"), name(e["kind"], e["canon"])), F.lit(0))
         return F.when(e["kind"] == NONE, e["entity"]).otherwise(restored(e["kind"], e["entity"], permuted(e["kind"], e["canon"], tweak, key)))
 
-    def replaced(found: Column) -> Column:
-        real = F.filter(found, lambda e: e["kind"] != NONE)
+    def without_cards(gap: Column, cards: Column) -> Column:
+        return F.array_join(F.flatten(F.zip_with(F.split(gap, GROUPED, -1), F.concat(F.transform(cards, swapped), F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
+
+    def replaced(found: Column, cards: Column) -> Column:
+        real = F.filter(_all(found, cards), lambda e: e["kind"] != NONE)
         gaps = F.split(text, ANY, -1)
+        gaps = F.when(cards.isNull(), gaps).otherwise(F.zip_with(gaps, cards, without_cards))
         pieces = F.zip_with(gaps, F.concat(F.transform(found, swapped), F.array(F.lit(""))), lambda g, s: F.array(g, s))
         kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(real, lambda e: e["kind"]))), ",")
-        return F.struct(F.size(real).cast("long").alias("n"), kinds.alias("kinds"), F.when(F.size(found) == 0, text).otherwise(F.array_join(F.flatten(pieces), "")).alias("text"))
+        return F.struct(F.size(real).cast("long").alias("n"), kinds.alias("kinds"), F.when((F.size(found) == 0) & cards.isNull(), text).otherwise(F.array_join(F.flatten(pieces), "")).alias("text"))
 
-    done = joined.withColumn("_new", let(_detected(text), replaced))
+    done = joined.withColumn("_new", let(_detected(text), lambda found: let(_grouped(text), lambda cards: replaced(found, cards))))
     if columns:
         return done.select(*[F.col("_new.text").alias(c) if c == text_col else b for c, b in zip(docs.columns, back, strict=True)])
     return done.select(doc_id.alias("doc_id"), F.col("_new.n").alias("n_entities"), F.col("_new.kinds").alias("kinds"), F.col("_new.text").alias("text"))
