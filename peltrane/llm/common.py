@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def drop_now(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:

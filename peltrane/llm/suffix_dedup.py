@@ -20,7 +20,14 @@ A common-prefix-aware distributed merge sort of a sparse suffix array.
    common prefixes in the order by right and by left contexts. All comparisons are of bytes, none of hashes.
 6. Windows found are joined to the texts, merged into spans and removed.
 
-Hot groups. Copies are one entry of each run, however many there are. But what follows an anchor may recur with ever different
+Passages. The same steps run over words beside bytes: a text's words `[^\\x20\\x09-\\x0D]+` are 64-bit codes, a window is
+`passage_words` of them, and only windows that some other row has count. They are not removed; n_passages and
+n_passage_words say how many maximal runs of words another text has too, and how many words are in them. (A passage of 51 words
+is often shorter than 400 bytes.) The lowest bit of an anchor's hash tells words from bytes, so both go through one
+exchange. Word windows are compared by their words' codes; everything else is compared by bytes.
+
+Hot groups. Copies are one entry of each run, however many there are; an entry with over `inline` places keeps them in a table of
+its own, and what the merge finds for it is joined back there, so no task gathers all copies. But what follows an anchor may recur with ever different
 bytes before it (a passage that a third of all texts hold), and those entries would all meet in one group. So of each hash the
 distinct contexts are counted too, and anchors of one with over `hot_contexts` of them are replaced by their single windows, each
 an anchor at its own first byte with d = 0 and its own hash: now only equal windows meet, and those found once go as in 2.
@@ -43,10 +50,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_now, materialize, spread, with_row_id
+from .common import SPACE, drop_now, free_shuffles, materialize, spread, with_row_id
 
 LENGTH, SPAN, GRAM = 400, 300, 8
+PASSAGE_WORDS, PASSAGE_SPAN, WORD_GRAM, WORD = 51, 36, 3, 8  # passages of over 50 words; a word's code has 8 bytes
 CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 20, 60_000, 50_000, 20_000
+INLINE = 64  # places of an entry that travel with it
 PAIRS_UP_TO = 12  # entries of a group that are compared two by two; larger groups go by classes
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -70,27 +79,57 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 
 class Shape:
-    """length, span and the bytes that all windows of an anchor share."""
+    """length and span in units (bytes, or words of `unit` bytes), and the units that all windows of an anchor share.
 
-    def __init__(self, length: int = LENGTH, span: int = SPAN):
-        if not 1 <= span <= length - GRAM + 1:
-            raise ValueError("span must be between 1 and length - 7")
-        self.length, self.span, self.shared = length, span, length - span + 1
+    across: only windows that another row has too count as repeated.
+    """
+
+    def __init__(self, length: int = LENGTH, span: int = SPAN, *, unit: int = 1, across: bool = False):
+        self.gram = GRAM if unit == 1 else WORD_GRAM
+        if not 1 <= span <= length - self.gram + 1:
+            raise ValueError(f"span must be between 1 and length - {self.gram - 1}")
+        self.length, self.span, self.shared, self.unit, self.across = length, span, length - span + 1, unit, across
         self.weights = np.random.default_rng(7).integers(0, 1 << 63, self.shared, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def units(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, dtype=np.uint8 if self.unit == 1 else ">u8")
+
+    def grams(self, flat: bytes) -> np.ndarray:
+        """A hash of the units at each place and after it; window starts are told apart by these."""
+        if self.unit == 1:
+            n = len(flat)
+            return _mixed(np.ndarray((n,), "<u8", flat + bytes(GRAM), strides=(1,)) + np.uint64(0x9E3779B97F4A7C15))
+        codes = np.concatenate([self.units(flat).astype(np.uint64), np.zeros(WORD_GRAM, np.uint64)])
+        return _mixed(sum(codes[k : len(codes) - WORD_GRAM + k] * self.weights[k] for k in range(WORD_GRAM)))
+
+
+class Codes(dict):
+    """A text's words as 8-byte codes. Codes met are kept, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= 500_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+    def of(self, text: bytes) -> bytes:
+        words = text.split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words)).astype(">u8").tobytes()
+
 
 def anchors(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
     """Of the texts' windows: text number, anchor's place, least and greatest d, hashes of what follows and of the whole context."""
     flat = b"".join(texts)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // shape.unit
     ends = np.cumsum(sizes)
-    n, w = len(flat), shape.span
+    n, w = len(flat) // shape.unit, shape.span
     windows = np.maximum(sizes - shape.length + 1, 0)
     total = int(windows.sum())
     if not total:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    grams = np.ndarray((n,), "<u8", flat + bytes(GRAM), strides=(1,))
-    packed = (_mixed(grams + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    packed = (shape.grams(flat) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     blocks = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
     blocks[:n] = packed
     blocks = blocks.reshape(-1, w)
@@ -103,23 +142,28 @@ def anchors(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (of[1:] != of[:-1]))))
     last = np.concatenate((new[1:], [total])) - 1
     place, doc = at[new], of[new]
-    data = np.frombuffer(flat, dtype=np.uint8)
+    data = shape.units(flat)
     h = np.empty(len(new), dtype=np.uint64)
     for k in range(0, len(new), 8192):
         h[k : k + 8192] = (data[place[k : k + 8192, None] + np.arange(shape.shared)].astype(np.uint64) * shape.weights).sum(axis=1, dtype=np.uint64)
     context = string_hashes(data, starts[new], starts[last] + shape.length)
-    return doc, place - (ends - sizes)[doc], place - starts[last], place - starts[new], _mixed(h), context
+    return doc, place - (ends - sizes)[doc], place - starts[last], place - starts[new], shape_hash(_mixed(h), shape), context
+
+
+def shape_hash(h: np.ndarray, shape: Shape) -> np.ndarray:
+    """Its lowest bit is 1 for words, 0 for bytes."""
+    return (h & ~np.uint64(1)) | np.uint64(shape.unit > 1)
 
 
 def _chunks(texts, shape: Shape, size: int):
-    """Lists of (row, offset, bytes) of about `size` bytes; each window of each text is in just one chunk."""
-    held, count = [], 0
+    """Lists of (row, offset in units, bytes) of about `size` bytes; each window of each text is in just one chunk."""
+    held, count, size, length = [], 0, max(1, size // shape.unit) * shape.unit, shape.length * shape.unit
     for row, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - shape.length + 1), size):
-            part = text[at : at + size + shape.length - 1]
-            if len(part) < shape.length:
+        for at in range(0, max(1, len(text) - length + 1), size):
+            part = text[at : at + size + length - shape.unit]
+            if len(part) < length:
                 continue
-            held.append((row, at, part))
+            held.append((row, at // shape.unit, part))
             count += len(part)
             if count >= size:
                 yield held
@@ -128,36 +172,49 @@ def _chunks(texts, shape: Shape, size: int):
         yield held
 
 
-def anchor_rows(rows: DataFrame, shape: Shape, size: int = CHUNK_BYTES) -> DataFrame:
-    """rows (_rid, _bytes) to (h, context, _rid, place, lo, hi)."""
+def anchor_rows(rows: DataFrame, shapes: list[Shape], size: int = CHUNK_BYTES) -> DataFrame:
+    """rows (_rid, _bytes) to (h, context, _rid, place, lo, hi); places in units."""
 
     def run(batches):
+        codes = Codes()
         for b in batches:
             rid = np.array(b.column(0))
-            for chunk in _chunks((x.as_py() or b"" for x in b.column(1)), shape, size):
-                doc, place, lo, hi, h, context = anchors([x[2] for x in chunk], shape)
-                row, offset = (np.array([x[k] for x in chunk], dtype=np.int64) for k in (0, 1))
-                arrays = (h.view(np.int64), context.view(np.int64), rid[row[doc]], place + offset[doc], lo.astype(np.int32), hi.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "context", "_rid", "place", "lo", "hi"])
+            for shape in shapes:
+                texts = (x.as_py() or b"" for x in b.column(1))
+                for chunk in _chunks(texts if shape.unit == 1 else map(codes.of, texts), shape, size):
+                    doc, place, lo, hi, h, context = anchors([x[2] for x in chunk], shape)
+                    row, offset = (np.array([x[k] for x in chunk], dtype=np.int64) for k in (0, 1))
+                    arrays = (h.view(np.int64), context.view(np.int64), rid[row[doc]], place + offset[doc], lo.astype(np.int32), hi.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["h", "context", "_rid", "place", "lo", "hi"])
 
     return rows.mapInArrow(run, "h long, context long, _rid long, place long, lo int, hi int")
 
 
-def window_rows(found: DataFrame, shape: Shape) -> DataFrame:
+def _located(batch: pa.RecordBatch, shapes: list[Shape], codes: Codes):
+    """(rid, shape, the text's bytes or codes, anchors' h, place, lo, hi) of rows (_rid, _bytes, at), for each shape that they have."""
+    for i in range(batch.num_rows):
+        text, at = batch.column(1)[i].as_py(), batch.column(2)[i].values
+        h, place, lo, hi = (at.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+        for shape in shapes:
+            if (on := np.flatnonzero((h & 1) == (shape.unit > 1))).size:
+                yield batch.column(0)[i].as_py(), shape, text if shape.unit == 1 else codes.of(text), h[on], place[on], lo[on], hi[on]
+
+
+def window_rows(found: DataFrame, shapes: list[Shape]) -> DataFrame:
     """found (_rid, _bytes, at array<struct<h, place, lo, hi>>) to its single windows as anchors (h, _rid, place, lo, hi)."""
 
     def run(batches):
+        codes = Codes()
         for b in batches:
-            for i in range(b.num_rows):
-                data, at = np.frombuffer(b.column(1)[i].as_py(), dtype=np.uint8), b.column(2)[i].values
-                place, lo, hi = (at.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+            for rid, shape, text, _, place, lo, hi in _located(b, shapes, codes):
+                data = shape.units(text)
                 for k in range(0, len(place), 256):
                     counts = (hi - lo + 1)[k : k + 256]
                     starts = np.repeat((place - hi)[k : k + 256] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
                     low = int(starts.min())
-                    h = string_hashes(data[low : int(starts.max()) + shape.length], starts - low, starts - low + shape.length)
+                    h = shape_hash(string_hashes(data[low : int(starts.max()) + shape.length], starts - low, starts - low + shape.length), shape)
                     zero = pa.array(np.zeros(len(starts), np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.repeat(b.column(0)[i], len(starts)), pa.array(starts), zero, zero], names=["h", "_rid", "place", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(starts), rid)), pa.array(starts), zero, zero], names=["h", "_rid", "place", "lo", "hi"])
 
     return found.mapInArrow(run, "h long, _rid long, place long, lo int, hi int")
 
@@ -255,127 +312,182 @@ def merged(runs: list):
 # -- Groups ---------------------------------------------------------------------------------------------------------
 
 
-def repeated(entries: list[list], shape: Shape) -> list[list[tuple[int, int]]]:
-    """For each entry of a group, the intervals of d of its windows that repeat.
+class Entry:
+    """One context of a group: what follows the anchor, its common prefix with the entry before, what precedes it, and its places."""
 
-    entries: [right, common prefix of right with the entry before, left, lo, hi, places], ordered by right, distinct.
-    """
-    n, full = len(entries), [[(e[3], e[4])] if e[5] > 1 else [] for e in entries]
+    __slots__ = ("right", "lcp", "left", "lo", "hi", "count", "least", "most", "places")
+
+    def __init__(self, right: bytes, lcp: int, left: bytes, lo: int, hi: int):
+        self.right, self.lcp, self.left, self.lo, self.hi = right, lcp, left, lo, hi
+        self.count, self.least, self.most, self.places = 0, 1 << 63, -1, []
+
+    def add(self, places: list[list[int]]) -> None:
+        """places: (row, place); or, of an entry that keeps its places elsewhere, (-1, their name), (-2, least row), (-2, greatest row)."""
+        for rid, place in places:
+            if rid == -2:
+                rid = place
+            else:
+                self.places.append((rid, place))
+            if rid < 0:
+                self.count += 1  # two rows' places at least, with what follows
+                continue
+            self.count += 1
+            self.least, self.most = min(self.least, rid), max(self.most, rid)
+
+
+def repeated(entries: list[Entry], shape: Shape) -> list[list[tuple[int, int]]]:
+    """For each entry of a group, the intervals of d (in bytes) of its windows that repeat. entries: ordered by right, distinct."""
+    n, unit, length = len(entries), shape.unit, shape.length * shape.unit
+    whole = [e.least < e.most if shape.across else e.count > 1 for e in entries]
+    full = [[(e.lo, e.hi)] if w else [] for e, w in zip(entries, whole, strict=True)]
     if n == 1:
         return full
-    back = [e[2][::-1] for e in entries]
+    back = [e.left[::-1] for e in entries]
     if n <= PAIRS_UP_TO:
-        for i in range(n):
-            low = shape.length
+        for i, x in enumerate(entries):
+            low = length
             for j in range(i + 1, n):
-                low = min(low, entries[j][1])
-                if low < shape.shared:
+                y = entries[j]
+                low = min(low, y.lcp)
+                if low < shape.shared * unit:
                     break
-                a = max(entries[i][3], entries[j][3], shape.length - low)
-                b = min(entries[i][4], entries[j][4])
-                if a <= b and (b := min(b, common_prefix(back[i], back[j]))) >= a:
+                if shape.across and x.least == x.most == y.least == y.most:
+                    continue
+                a = max(x.lo, y.lo, length - low // unit * unit)
+                b = min(x.hi, y.hi)
+                if a <= b and (b := min(b, common_prefix(back[i], back[j]) // unit * unit)) >= a:
                     full[i].append((a, b))
                     full[j].append((a, b))
         return full
-    right = np.array([e[1] for e in entries])
+    right = np.array([e.lcp for e in entries])
     right[0] = 0
-    lo, hi, many = (np.array([e[k] for e in entries]) for k in (3, 4, 5))
+    lo, hi = (np.array([getattr(e, k) for e in entries]) for k in ("lo", "hi"))
+    least, most = (np.array([getattr(e, k) for e in entries]) for k in ("least", "most"))
     order = sorted(range(n), key=back.__getitem__)
     left = np.array([0, *(common_prefix(back[a], back[b]) for a, b in zip(order, order[1:], strict=False))])
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
-    hit = np.zeros((n, int(hi.max()) + 2), dtype=bool)
-    for d in range(int(lo.min()), int(hi.max()) + 1):
+    hit = np.zeros((n, int(hi.max()) // unit + 2), dtype=bool)
+    for d in range(int(lo.min()), int(hi.max()) + 1, unit):
         on = np.flatnonzero((lo <= d) & (d <= hi))
         if len(on) > 1:
-            both = np.cumsum(right < shape.length - d)[on] * (n + 1) + np.cumsum(left < d)[rank[on]]
+            both = np.cumsum(right < length - d)[on] * (n + 1) + np.cumsum(left < d)[rank[on]]
             _, where, counts = np.unique(both, return_inverse=True, return_counts=True)
-            hit[on, d] = counts[where] > 1
+            if shape.across:
+                first, last = np.full(len(counts), 1 << 62), np.full(len(counts), -1)
+                np.minimum.at(first, where, least[on])
+                np.maximum.at(last, where, most[on])
+                hit[on, d // unit] = (first < last)[where]
+            else:
+                hit[on, d // unit] = counts[where] > 1
     step = np.diff(hit.astype(np.int8), axis=1, prepend=0)
-    for i in np.flatnonzero((many == 1) & hit.any(axis=1)):
-        full[i] = list(zip(np.flatnonzero(step[i] == 1).tolist(), (np.flatnonzero(step[i] == -1) - 1).tolist(), strict=True))
+    for i in np.flatnonzero(~np.array(whole) & hit.any(axis=1)):
+        full[i] = list(zip((np.flatnonzero(step[i] == 1) * unit).tolist(), ((np.flatnonzero(step[i] == -1) - 1) * unit).tolist(), strict=True))
     return full
 
 
-def merge_range(blocks: list[bytes], shape: Shape):
-    """(rid, first byte, end) covered by repeated windows, from one range's runs."""
-    prefix = 8 + shape.shared
+def merge_range(blocks: list[bytes], shapes: list[Shape]):
+    """(rid, place, first unit, end, 1 for words) covered by repeated windows, from one range's runs.
+
+    The first unit and the end are relative to the place. Of entries that keep their places elsewhere the row is -1 and the
+    place their name.
+    """
+    by_kind = {int(x.unit > 1): x for x in shapes}
 
-    def flush(group: list[list], members: list):
-        if sum(map(len, members)) < 2:
-            return
-        for e, m in zip(group, members, strict=True):
-            e[5] = len(m)
-        for spans, m in zip(repeated(group, shape), members, strict=True):
-            for a, b in spans:
-                for rid, place in m:
-                    yield rid, place - b, place - a + shape.length
+    def flush(group: list[Entry], kind: int):
+        if len(group) > 1 or group and group[0].count > 1:
+            shape = by_kind[kind]
+            for e, spans in zip(group, repeated(group, shape), strict=True):
+                for a, b in spans:
+                    for rid, place in e.places:
+                        yield rid, place, -b // shape.unit, -a // shape.unit + shape.length, kind
 
-    group, members, known = [], [], {}
+    group, known, kind = [], {}, 0
     gap = 1 << 30  # common prefix with the last entry kept: the least since then
     for key, lcp, (left, lo, hi, places) in merged([decoded(b) for b in blocks]):
-        if lcp < prefix:
-            yield from flush(group, members)
-            group, members, known, gap = [], [], {}, 1 << 30
-        elif lcp < len(key) or not group or len(group[-1][0]) + 8 != len(key):
+        now = key[7] & 1
+        if lcp < 8 + by_kind[now].shared * by_kind[now].unit:
+            yield from flush(group, kind)
+            group, known, gap, kind = [], {}, 1 << 30, now
+        elif lcp < len(key) or not group or len(group[-1].right) + 8 != len(key):
             known = {}  # keys differ
         gap = min(gap, lcp)
-        places = places.tolist()
-        if (same := known.get((left, lo, hi))) is not None:
-            members[same] = members[same] + places
-        else:
-            known[left, lo, hi] = len(group)
-            group.append([key[8:], gap - 8, left, lo, hi, 0])
-            members.append(places)
+        if (same := known.get((left, lo, hi))) is None:
+            same = known[left, lo, hi] = Entry(key[8:], gap - 8, left, lo, hi)
+            group.append(same)
             gap = 1 << 30
-    yield from flush(group, members)
+        same.add(places.tolist())
+    yield from flush(group, kind)
+
 
+def run_rows(found: DataFrame, shapes: list[Shape], ranges: int, entries: int = RUN_ENTRIES, inline: int = INLINE) -> DataFrame:
+    """found (_rid, _bytes, at array<struct<h, place, lo, hi>>) to (range, block, name, rids, places): sorted runs, cut and front-coded.
 
-def run_rows(found: DataFrame, shape: Shape, ranges: int, entries: int = RUN_ENTRIES) -> DataFrame:
-    """found (_rid, _bytes, at array<struct<h, place, lo, hi>>) to (range, block): sorted runs, cut and front-coded."""
+    Rows without a block are the places of an entry that has over `inline` of them in its run.
+    """
+    names = ["range", "block", "name", "rids", "places"]
 
     def run(batches):
+        from pyspark import TaskContext
+
+        codes = Codes()
         held: dict[tuple, list] = {}
-        count = 0
+        count, name = 0, TaskContext.get().partitionId() << 32
+
+        def batch(r: list, block: list, own: list, rids: list, places: list):
+            arrays = [pa.array(r, pa.int32()), pa.array(block, pa.binary()), pa.array(own, pa.int64()), pa.array(rids, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         def flush():
+            nonlocal name
             ordered = sorted((*k, v) for k, v in held.items())
-            out, at = [], 0
+            held.clear()
+            at = 0
             while at < len(ordered):
                 r = int.from_bytes(ordered[at][0][:8], "big") * ranges >> 64
-                end = at + 1
+                out, end = [], at
                 while end < len(ordered) and int.from_bytes(ordered[end][0][:8], "big") * ranges >> 64 == r:
+                    *entry, places = ordered[end]
+                    if len(places) > max(1, inline):
+                        rids = [p[0] for p in places]
+                        yield batch([None], [None], [name], [rids], [[p[1] for p in places]])
+                        places = [(-1, name), (-2, min(rids)), (-2, max(rids))]
+                        name += 1
+                    out.append((*entry, places))
                     end += 1
-                out.append((r, coded(ordered[at:end])))
+                yield batch([r], [coded(out)], [None], [None], [None])
                 at = end
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.int32()), pa.array([x[1] for x in out], type=pa.binary())], names=["range", "block"])
 
         for b in batches:
-            for i in range(b.num_rows):
-                rid, text = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                at = b.column(2)[i].values
-                h, place, lo, hi = (at.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                for head, p, a, z in zip(h.astype(">i8"), place.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    held.setdefault((head.tobytes() + text[p : p + shape.length], text[p - z : p], a, z), []).append((rid, p))
+            for rid, shape, text, h, place, lo, hi in _located(b, shapes, codes):
+                length, unit = shape.length * shape.unit, shape.unit
+                heads = h.astype(">i8").tobytes()
+                for k, (p, a, z) in enumerate(zip(place.tolist(), lo.tolist(), hi.tolist(), strict=True)):
+                    at = p * unit
+                    held.setdefault((heads[8 * k : 8 * k + 8] + text[at : at + length], text[at - z * unit : at], a * unit, z * unit), []).append((rid, p))
                     count += 1
                 if count >= entries:
-                    yield flush()
+                    yield from flush()
                     count = 0
         if held:
-            yield flush()
+            yield from flush()
 
-    return found.mapInArrow(run, "range int, block binary")
+    return found.mapInArrow(run, "range int, block binary, name long, rids array<long>, places array<long>")
 
 
-def covered_rows(blocks: DataFrame, shape: Shape) -> DataFrame:
-    """(range, block) to (_rid, a, b): the bytes that repeated windows cover."""
+def covered_rows(runs: DataFrame, shapes: list[Shape], ranges: int) -> DataFrame:
+    """run_rows() to (_rid, kind, a, b): the units that repeated windows cover; kind is 1 for words."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.array(list(merge_range(pdf["block"].tolist(), shape)), dtype=np.int64).reshape(-1, 3)
-        return pd.DataFrame(out, columns=["_rid", "a", "b"])
+        out = np.array(list(merge_range(pdf["block"].tolist(), shapes)), dtype=np.int64).reshape(-1, 5)
+        return pd.DataFrame(out, columns=["_rid", "place", "a", "b", "kind"])
 
-    return blocks.groupBy("range").applyInPandas(run, "_rid long, a long, b long")
+    blocks = runs.where("block IS NOT NULL").select("range", "block").repartition(ranges, "range")
+    said = materialize(blocks.groupBy("range").applyInPandas(run, "_rid long, place long, a long, b long, kind long"), "covered")
+    kept = runs.where("block IS NULL").select("name", F.explode(F.arrays_zip("rids", "places")).alias("p")).select("name", "p.rids", "p.places")
+    far = said.where("_rid < 0").withColumnRenamed("place", "name").join(kept, "name").select(F.col("rids").alias("_rid"), F.col("places").alias("place"), "a", "b", "kind")
+    near = said.where("_rid >= 0").select("_rid", "place", "a", "b", "kind")
+    return near.unionByName(far).select("_rid", "kind", (F.col("place") + F.col("a")).alias("a"), (F.col("place") + F.col("b")).alias("b"))
 
 
 def spans_of(pairs) -> list[tuple[int, int]]:
@@ -400,9 +512,9 @@ def _with_texts(found: DataFrame, rows: DataFrame) -> DataFrame:
     return places.join(rows, "_rid").select("_rid", "_bytes", "at")
 
 
-def candidates(rows: DataFrame, shape: Shape, size: int, hot_contexts: int) -> DataFrame:
+def candidates(rows: DataFrame, shapes: list[Shape], size: int, hot_contexts: int) -> DataFrame:
     """(h, _rid, place, lo, hi): the anchors whose windows may repeat, those of hot hashes as single windows."""
-    every = materialize(anchor_rows(spread(rows), shape, size), "anchors")
+    every = materialize(anchor_rows(spread(rows), shapes, size), "anchors")
     spare = [every]  # tables that nothing reads once the anchors met are written
     found = _met(every, spare)
     distinct = every.groupBy("h", "context").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -411,7 +523,7 @@ def candidates(rows: DataFrame, shape: Shape, size: int, hot_contexts: int) -> D
     if hot.isEmpty():
         out = materialize(found.drop("context"), "anchors-met")
     else:
-        windows = materialize(window_rows(_with_texts(found.join(hot, "h", "left_semi").drop("context"), rows), shape), "windows")
+        windows = materialize(window_rows(_with_texts(found.join(hot, "h", "left_semi").drop("context"), rows), shapes), "windows")
         spare.append(windows)
         out = materialize(found.join(hot, "h", "left_anti").drop("context").unionByName(_met(windows, spare)), "anchors-met")
     for t in spare:
@@ -419,23 +531,23 @@ def candidates(rows: DataFrame, shape: Shape, size: int, hot_contexts: int) -> D
     return out
 
 
-def repeated_spans(rows: DataFrame, *, length: int = LENGTH, span: int = SPAN, size: int = CHUNK_BYTES, run_entries: int = RUN_ENTRIES, range_entries: int = RANGE_ENTRIES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def repeated_spans(rows: DataFrame, shapes: list[Shape], *, size: int = CHUNK_BYTES, run_entries: int = RUN_ENTRIES, range_entries: int = RANGE_ENTRIES, hot_contexts: int = HOT_CONTEXTS, inline: int = INLINE) -> DataFrame:
     """rows (_rid, _bytes) to (_rid, spans): the intervals that repeated windows cover, for rows that have any."""
-    shape = Shape(length, span)
-    found = candidates(rows, shape, size, hot_contexts)
+    found = candidates(rows, shapes, size, hot_contexts)
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // range_entries))
-    blocks = run_rows(_with_texts(found, rows), shape, ranges, run_entries)
-    covered = materialize(covered_rows(blocks.repartition(ranges, "range"), shape), "covered")
+    runs = materialize(run_rows(_with_texts(found, rows), shapes, ranges, run_entries, inline), "runs")
     drop_now(found)
-    return covered.groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    free_shuffles(rows.sparkSession)
+    return covered_rows(runs, shapes, ranges).groupBy("_rid").agg(F.collect_list(F.struct("kind", "a", "b")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds `kept`, the remaining bytes."""
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, length: int = LENGTH, span: int = SPAN, passage_words: int = PASSAGE_WORDS, passage_span: int = PASSAGE_SPAN, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words; with_text adds `kept`, the remaining bytes."""
     rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("_bytes")))
-    spans = repeated_spans(rows.select("_rid", "_bytes"), **options)
+    shapes = [Shape(length, span), Shape(passage_words, passage_span, unit=WORD, across=True)]
+    spans = repeated_spans(rows.select("_rid", "_bytes"), shapes, **options)
     joined = rows.join(spans, "_rid", "left").select("doc_id", "_bytes", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", *["kept"] * with_text]
 
     def run(batches):
         for batch in batches:
@@ -443,33 +555,39 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 b = batch.slice(start, 1000)
                 out = []
                 for i in range(b.num_rows):
-                    text, pairs = b.column(1)[i].as_py(), b.column(2)[i].as_py()
-                    runs = spans_of((p["a"], p["b"]) for p in pairs or ())
+                    text, pairs = b.column(1)[i].as_py(), b.column(2)[i].as_py() or ()
+                    runs = spans_of((p["a"], p["b"]) for p in pairs if not p["kind"])
+                    passages = spans_of((p["a"], p["b"]) for p in pairs if p["kind"])
                     kept, at = [], 0
                     for x, y in runs:
                         kept.append(text[at:x])
                         at = y
                     kept = b"".join((*kept, text[at:]))
-                    out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                arrays = [b.column(0), *(pa.array(columns[k], type=pa.int64()) for k in range(3)), pa.array(columns[3], type=pa.string())]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(columns[4], type=pa.binary())] * with_text], names=names)
+                    out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(passages), sum(y - x for x, y in passages), kept))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 7
+                arrays = [b.column(0), *(pa.array(c, type=pa.string() if k == 3 else pa.int64()) for k, c in enumerate(columns[:6]))]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(columns[6], type=pa.binary())] * with_text], names=names)
 
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary" * with_text
     return joined.mapInArrow(run, schema)
 
 
 #: The definition in SQL, window by window.
 ORACLE = f"""
-WITH b AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+WITH b AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS ws FROM documents),
 w AS (SELECT rid, i, md5(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT rid, b, unnest(generate_series(1, octet_length(b) - {LENGTH - 1})) AS i FROM b)),
 m AS (SELECT rid, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
 g AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM m),
 s AS (SELECT rid, min(i) AS x, max(i) + {LENGTH} AS y FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM g) GROUP BY rid, k),
 p AS (SELECT rid, x, coalesce(lag(y) OVER (PARTITION BY rid ORDER BY x), 1) AS a, x AS z FROM s UNION ALL SELECT rid, max(x) + 1, max(y), NULL FROM s GROUP BY rid),
 k AS (SELECT rid, coalesce(string_agg(hex(array_slice(b, a, coalesce(z - 1, octet_length(b)))), '' ORDER BY x) FILTER (WHERE a <= coalesce(z - 1, octet_length(b))), '') AS kept FROM p JOIN b USING (rid) GROUP BY rid),
-n AS (SELECT rid, count(*) AS n_spans, sum(y - x) AS n_removed FROM s GROUP BY rid)
+n AS (SELECT rid, count(*) AS n_spans, sum(y - x) AS n_removed FROM s GROUP BY rid),
+w2 AS (SELECT rid, i, md5(array_to_string(list_slice(ws, i, i + {PASSAGE_WORDS - 1}), ' ')) AS h FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - {PASSAGE_WORDS - 1})) AS i FROM b)),
+m2 AS (SELECT rid, i FROM w2 QUALIFY min(rid) OVER (PARTITION BY h) < max(rid) OVER (PARTITION BY h)),
+g2 AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= {PASSAGE_WORDS} THEN 0 ELSE 1 END AS new FROM m2),
+s2 AS (SELECT rid, max(i) + {PASSAGE_WORDS} - min(i) AS size FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM g2) GROUP BY rid, k),
+n2 AS (SELECT rid, count(*) AS n_passages, sum(size) AS n_words FROM s2 GROUP BY rid)
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
-FROM b LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
+  CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(n_words, 0) AS BIGINT) AS n_passage_words
+FROM b LEFT JOIN n USING (rid) LEFT JOIN k USING (rid) LEFT JOIN n2 USING (rid)
 """
