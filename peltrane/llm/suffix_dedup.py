@@ -54,6 +54,7 @@ from .common import SPACE, drop_now, free_shuffles, materialize, spread, with_ro
 
 LENGTH, SPAN, GRAM = 400, 300, 8
 PASSAGE_WORDS, PASSAGE_SPAN, WORD_GRAM, WORD = 51, 36, 3, 8  # passages of over 50 words; a word's code has 8 bytes
+LONG_WORD = 1 << 16  # bytes of a word from which it is hashed apart
 CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 20, 60_000, 50_000, 20_000
 INLINE = 64  # places of an entry that travel with it
 PAIRS_UP_TO = 12  # entries of a group that are compared two by two; larger groups go by classes
@@ -61,19 +62,38 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+BLANKS = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX1
     x = (x ^ (x >> np.uint64(27))) * MIX2
     return x ^ (x >> np.uint64(31))
 
 
+class Powers(dict):
+    """n -> BASE to the powers 0 to n, and their inverses, modulo 2^64. Each process makes its own."""
+
+    def __missing__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.full((2, n + 1), BASE, dtype=np.uint64)
+        both[1] = pow(BASE, -1, 1 << 64)
+        both[:, 0] = 1
+        self[n] = tuple(np.cumprod(both, axis=1))
+        return self[n]
+
+    def __reduce__(self):
+        return Powers, ()
+
+
+POWERS = Powers()
+
+
 def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end], equal for equal strings: polynomials modulo 2^64 from prefix sums."""
     n = len(data)
-    powers, inverse = np.full(n + 1, BASE, dtype=np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), dtype=np.uint64)
-    powers[0] = inverse[0] = 1
-    powers, inverse = np.cumprod(powers), np.cumprod(inverse)
-    sums = np.zeros(n + 1, dtype=np.uint64)
+    powers, inverse = POWERS[1 << max(16, n.bit_length())]  # few sizes, each made once
+    sums = np.empty(n + 1, dtype=np.uint64)
+    sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
     return _mixed((sums[end] - sums[start]) * inverse[start])
 
@@ -103,20 +123,57 @@ class Shape:
         return _mixed(sum(codes[k : len(codes) - WORD_GRAM + k] * self.weights[k] for k in range(WORD_GRAM)))
 
 
-class Codes(dict):
-    """A text's words as 8-byte codes. Codes met are kept, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 500_000:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word)
-        return code
-
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words)).astype(">u8").tobytes()
+def _pieces(text: bytes, size: int):
+    """(piece, whether it ends the text): a text in parts of about `size` bytes, cut at blanks. A longer word is a part of its own."""
+    text, at = text.translate(BLANKS), 0
+    while len(text) - at > size:
+        cut = text.rfind(b" ", at, at + size)
+        if cut < at:
+            cut = text.find(b" ", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut], False
+        at = cut + 1
+    yield text[at:], True
+
+
+def word_codes(texts, size: int = CHUNK_BYTES):
+    """For each text its words as 64-bit codes, 8 bytes each."""
+    import xxhash
+
+    held: list[tuple] = []
+    parts: list[bytes] = []  # codes of the text that is not yet whole
+    count = 0
+
+    def flush():
+        flat = b" ".join((*(p for p, _ in held), b""))
+        data = np.frombuffer(flat, np.uint8)
+        edge = np.flatnonzero(np.diff(data == 32, prepend=True))
+        starts, ends = edge[::2], edge[1::2]
+        h = string_hashes(data, starts, ends)
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            h[k] = xxhash.xxh64_intdigest(flat[starts[k] : ends[k]])
+        coded, at = h.astype(">u8").tobytes(), 0
+        for (_, last), stop in zip(held, np.searchsorted(starts, np.cumsum([len(p) + 1 for p, _ in held])).tolist(), strict=True):
+            parts.append(coded[8 * at : 8 * stop])
+            at = stop
+            if last:
+                yield b"".join(parts)
+                parts.clear()
+        held.clear()
+
+    for text in texts:
+        for piece, last in _pieces(text, size):
+            if len(piece) > max(size, LONG_WORD) and b" " not in piece:
+                yield from flush()
+                parts.append(xxhash.xxh64_digest(piece))
+                piece = b""
+            held.append((piece, last))
+            count += len(piece)
+            if count >= size:
+                yield from flush()
+                count = 0
+    yield from flush()
 
 
 def anchors(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
@@ -176,12 +233,11 @@ def anchor_rows(rows: DataFrame, shapes: list[Shape], size: int = CHUNK_BYTES) -
     """rows (_rid, _bytes) to (h, context, _rid, place, lo, hi); places in units."""
 
     def run(batches):
-        codes = Codes()
         for b in batches:
             rid = np.array(b.column(0))
             for shape in shapes:
                 texts = (x.as_py() or b"" for x in b.column(1))
-                for chunk in _chunks(texts if shape.unit == 1 else map(codes.of, texts), shape, size):
+                for chunk in _chunks(texts if shape.unit == 1 else word_codes(texts), shape, size):
                     doc, place, lo, hi, h, context = anchors([x[2] for x in chunk], shape)
                     row, offset = (np.array([x[k] for x in chunk], dtype=np.int64) for k in (0, 1))
                     arrays = (h.view(np.int64), context.view(np.int64), rid[row[doc]], place + offset[doc], lo.astype(np.int32), hi.astype(np.int32))
@@ -190,23 +246,22 @@ def anchor_rows(rows: DataFrame, shapes: list[Shape], size: int = CHUNK_BYTES) -
     return rows.mapInArrow(run, "h long, context long, _rid long, place long, lo int, hi int")
 
 
-def _located(batch: pa.RecordBatch, shapes: list[Shape], codes: Codes):
+def _located(batch: pa.RecordBatch, shapes: list[Shape]):
     """(rid, shape, the text's bytes or codes, anchors' h, place, lo, hi) of rows (_rid, _bytes, at), for each shape that they have."""
     for i in range(batch.num_rows):
         text, at = batch.column(1)[i].as_py(), batch.column(2)[i].values
         h, place, lo, hi = (at.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
         for shape in shapes:
             if (on := np.flatnonzero((h & 1) == (shape.unit > 1))).size:
-                yield batch.column(0)[i].as_py(), shape, text if shape.unit == 1 else codes.of(text), h[on], place[on], lo[on], hi[on]
+                yield batch.column(0)[i].as_py(), shape, text if shape.unit == 1 else next(word_codes([text])), h[on], place[on], lo[on], hi[on]
 
 
 def window_rows(found: DataFrame, shapes: list[Shape]) -> DataFrame:
     """found (_rid, _bytes, at array<struct<h, place, lo, hi>>) to its single windows as anchors (h, _rid, place, lo, hi)."""
 
     def run(batches):
-        codes = Codes()
         for b in batches:
-            for rid, shape, text, _, place, lo, hi in _located(b, shapes, codes):
+            for rid, shape, text, _, place, lo, hi in _located(b, shapes):
                 data = shape.units(text)
                 for k in range(0, len(place), 256):
                     counts = (hi - lo + 1)[k : k + 256]
@@ -321,18 +376,18 @@ class Entry:
         self.right, self.lcp, self.left, self.lo, self.hi = right, lcp, left, lo, hi
         self.count, self.least, self.most, self.places = 0, 1 << 63, -1, []
 
-    def add(self, places: list[list[int]]) -> None:
+    def add(self, places: list[list[int]], across: bool) -> None:
         """places: (row, place); or, of an entry that keeps its places elsewhere, (-1, their name), (-2, least row), (-2, greatest row)."""
-        for rid, place in places:
-            if rid == -2:
-                rid = place
-            else:
-                self.places.append((rid, place))
-            if rid < 0:
-                self.count += 1  # two rows' places at least, with what follows
-                continue
-            self.count += 1
-            self.least, self.most = min(self.least, rid), max(self.most, rid)
+        self.count += len(places)
+        self.places += places
+        if across:
+            for rid, place in places:
+                if rid != -1:
+                    rid = place if rid == -2 else rid
+                    if rid < self.least:
+                        self.least = rid
+                    if rid > self.most:
+                        self.most = rid
 
 
 def repeated(entries: list[Entry], shape: Shape) -> list[list[tuple[int, int]]]:
@@ -399,8 +454,10 @@ def merge_range(blocks: list[bytes], shapes: list[Shape]):
             shape = by_kind[kind]
             for e, spans in zip(group, repeated(group, shape), strict=True):
                 for a, b in spans:
+                    start, end = -b // shape.unit, -a // shape.unit + shape.length
                     for rid, place in e.places:
-                        yield rid, place, -b // shape.unit, -a // shape.unit + shape.length, kind
+                        if rid != -2:
+                            yield rid, place, start, end, kind
 
     group, known, kind = [], {}, 0
     gap = 1 << 30  # common prefix with the last entry kept: the least since then
@@ -416,7 +473,7 @@ def merge_range(blocks: list[bytes], shapes: list[Shape]):
             same = known[left, lo, hi] = Entry(key[8:], gap - 8, left, lo, hi)
             group.append(same)
             gap = 1 << 30
-        same.add(places.tolist())
+        same.add(places.tolist(), kind == 1)
     yield from flush(group, kind)
 
 
@@ -430,36 +487,33 @@ def run_rows(found: DataFrame, shapes: list[Shape], ranges: int, entries: int =
     def run(batches):
         from pyspark import TaskContext
 
-        codes = Codes()
         held: dict[tuple, list] = {}
         count, name = 0, TaskContext.get().partitionId() << 32
 
-        def batch(r: list, block: list, own: list, rids: list, places: list):
-            arrays = [pa.array(r, pa.int32()), pa.array(block, pa.binary()), pa.array(own, pa.int64()), pa.array(rids, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
         def flush():
             nonlocal name
             ordered = sorted((*k, v) for k, v in held.items())
             held.clear()
-            at = 0
+            blocks, away, at = [], [], 0
             while at < len(ordered):
                 r = int.from_bytes(ordered[at][0][:8], "big") * ranges >> 64
-                out, end = [], at
-                while end < len(ordered) and int.from_bytes(ordered[end][0][:8], "big") * ranges >> 64 == r:
-                    *entry, places = ordered[end]
+                out = []
+                while at < len(ordered) and int.from_bytes(ordered[at][0][:8], "big") * ranges >> 64 == r:
+                    *entry, places = ordered[at]
                     if len(places) > max(1, inline):
-                        rids = [p[0] for p in places]
-                        yield batch([None], [None], [name], [rids], [[p[1] for p in places]])
+                        rids, own = zip(*places, strict=True)
+                        away.append((name, rids, own))
                         places = [(-1, name), (-2, min(rids)), (-2, max(rids))]
                         name += 1
                     out.append((*entry, places))
-                    end += 1
-                yield batch([r], [coded(out)], [None], [None], [None])
-                at = end
+                    at += 1
+                blocks.append((r, coded(out)))
+            rows = [(r, block, None, None, None) for r, block in blocks] + [(None, None, *x) for x in away]
+            kinds = [pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
         for b in batches:
-            for rid, shape, text, h, place, lo, hi in _located(b, shapes, codes):
+            for rid, shape, text, h, place, lo, hi in _located(b, shapes):
                 length, unit = shape.length * shape.unit, shape.unit
                 heads = h.astype(">i8").tobytes()
                 for k, (p, a, z) in enumerate(zip(place.tolist(), lo.tolist(), hi.tolist(), strict=True)):
@@ -467,10 +521,10 @@ def run_rows(found: DataFrame, shapes: list[Shape], ranges: int, entries: int =
                     held.setdefault((heads[8 * k : 8 * k + 8] + text[at : at + length], text[at - z * unit : at], a * unit, z * unit), []).append((rid, p))
                     count += 1
                 if count >= entries:
-                    yield from flush()
+                    yield flush()
                     count = 0
         if held:
-            yield from flush()
+            yield flush()
 
     return found.mapInArrow(run, "range int, block binary, name long, rids array<long>, places array<long>")
 
@@ -502,8 +556,9 @@ def spans_of(pairs) -> list[tuple[int, int]]:
 
 
 def _met(every: DataFrame, spare: list[DataFrame]) -> DataFrame:
-    """The anchors whose hash occurs twice or more. Both sides of the join are read from tables, so hot hashes are split."""
-    spare.append(materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes-met"))
+    """The anchors whose hash occurs twice or more (words': in two rows). Both sides of the join are read from tables, so hot hashes are split."""
+    counts = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_rid").alias("least"), F.max("_rid").alias("most"))
+    spare.append(materialize(counts.where("n > 1 AND (h & 1 = 0 OR least < most)").select("h"), "hashes-met"))
     return every.join(spare[-1], "h", "left_semi")
 
 
@@ -553,11 +608,13 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 b = batch.slice(start, 1000)
-                out = []
+                lists, out = b.column(2), []
+                ends, none = lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
+                kinds, firsts, lasts = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 for i in range(b.num_rows):
-                    text, pairs = b.column(1)[i].as_py(), b.column(2)[i].as_py() or ()
-                    runs = spans_of((p["a"], p["b"]) for p in pairs if not p["kind"])
-                    passages = spans_of((p["a"], p["b"]) for p in pairs if p["kind"])
+                    text, at = b.column(1)[i].as_py(), slice(0, 0) if none[i] else slice(ends[i], ends[i + 1])
+                    kind, first, last = kinds[at], firsts[at], lasts[at]
+                    runs, passages = (spans_of(zip(first[kind == k].tolist(), last[kind == k].tolist(), strict=True)) for k in (0, 1))
                     kept, at = [], 0
                     for x, y in runs:
                         kept.append(text[at:x])

@@ -94,8 +94,7 @@ def test_passages_against_brute_force(seed, monkeypatch):
     texts += [texts[-1], [], make(1) * 50, passages[0] * 3]
     length = rng.choice([6, 9, 17])
     shape = s.Shape(length, rng.randrange(1, length - s.WORD_GRAM + 2), unit=s.WORD, across=True)
-    codes = s.Codes()
-    coded = [codes.of("  ".join(t).encode()) for t in texts]
+    coded = list(s.word_codes(("\t ".join(t).encode() for t in texts), rng.choice([1, 20, 1 << 20])))
     assert made(coded, shape, rng.choice([1, 3, 8]), rng.choice([5, 50, 10_000]), rng.choice([37, 300, 1 << 20])) == brute_across(texts, length)
 
 
