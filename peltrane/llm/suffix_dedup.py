@@ -24,7 +24,8 @@ Passages. The same steps run over words beside bytes: a text's words `[^\\x20\\x
 `passage_words` of them, and only windows that some other row has count. They are not removed; n_passages and
 n_passage_words say how many maximal runs of words another text has too, and how many words are in them. (A passage of 51 words
 is often shorter than 400 bytes.) The lowest bit of an anchor's hash tells words from bytes, so both go through one
-exchange. Word windows are compared by their words' codes; everything else is compared by bytes.
+exchange. Word windows are compared by 64 hashed bits of the words that an anchor's windows share and 32 of each word; everything
+else is compared by bytes.
 
 Hot groups. Copies are one entry of each run, however many there are; an entry with over `inline` places keeps them in a table of
 its own, and what the merge finds for it is joined back there, so no task gathers all copies. But what follows an anchor may recur with ever different
@@ -53,7 +54,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, drop_now, free_shuffles, materialize, spread, with_row_id
 
 LENGTH, SPAN, GRAM = 400, 300, 8
-PASSAGE_WORDS, PASSAGE_SPAN, WORD_GRAM, WORD = 51, 36, 3, 8  # passages of over 50 words; a word's code has 8 bytes
+PASSAGE_WORDS, PASSAGE_SPAN, WORD_GRAM, WORD, BRIEF = 51, 36, 3, 8, 4  # passages of over 50 words; a word's code has 8 bytes, in runs 4
 LONG_WORD = 1 << 16  # bytes of a word from which it is hashed apart
 CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 20, 60_000, 50_000, 20_000
 INLINE = 64  # places of an entry that travel with it
@@ -109,11 +110,16 @@ class Shape:
         if not 1 <= span <= length - self.gram + 1:
             raise ValueError(f"span must be between 1 and length - {self.gram - 1}")
         self.length, self.span, self.shared, self.unit, self.across = length, span, length - span + 1, unit, across
+        self.brief = 1 if unit == 1 else BRIEF  # bytes of a unit in sorted runs
         self.weights = np.random.default_rng(7).integers(0, 1 << 63, self.shared, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def units(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype=np.uint8 if self.unit == 1 else ">u8")
 
+    def shortened(self, data: bytes) -> bytes:
+        """The units as they stand in sorted runs."""
+        return data if self.unit == self.brief else (self.units(data) >> np.uint64(32)).astype(">u4").tobytes()
+
     def grams(self, flat: bytes) -> np.ndarray:
         """A hash of the units at each place and after it; window starts are told apart by these."""
         if self.unit == 1:
@@ -392,7 +398,7 @@ class Entry:
 
 def repeated(entries: list[Entry], shape: Shape) -> list[list[tuple[int, int]]]:
     """For each entry of a group, the intervals of d (in bytes) of its windows that repeat. entries: ordered by right, distinct."""
-    n, unit, length = len(entries), shape.unit, shape.length * shape.unit
+    n, unit, length = len(entries), shape.brief, shape.length * shape.brief
     whole = [e.least < e.most if shape.across else e.count > 1 for e in entries]
     full = [[(e.lo, e.hi)] if w else [] for e, w in zip(entries, whole, strict=True)]
     if n == 1:
@@ -454,7 +460,7 @@ def merge_range(blocks: list[bytes], shapes: list[Shape]):
             shape = by_kind[kind]
             for e, spans in zip(group, repeated(group, shape), strict=True):
                 for a, b in spans:
-                    start, end = -b // shape.unit, -a // shape.unit + shape.length
+                    start, end = -b // shape.brief, -a // shape.brief + shape.length
                     for rid, place in e.places:
                         if rid != -2:
                             yield rid, place, start, end, kind
@@ -463,7 +469,7 @@ def merge_range(blocks: list[bytes], shapes: list[Shape]):
     gap = 1 << 30  # common prefix with the last entry kept: the least since then
     for key, lcp, (left, lo, hi, places) in merged([decoded(b) for b in blocks]):
         now = key[7] & 1
-        if lcp < 8 + by_kind[now].shared * by_kind[now].unit:
+        if lcp < 8 + by_kind[now].shared * by_kind[now].brief:
             yield from flush(group, kind)
             group, known, gap, kind = [], {}, 1 << 30, now
         elif lcp < len(key) or not group or len(group[-1].right) + 8 != len(key):
@@ -514,7 +520,7 @@ def run_rows(found: DataFrame, shapes: list[Shape], ranges: int, entries: int =
 
         for b in batches:
             for rid, shape, text, h, place, lo, hi in _located(b, shapes):
-                length, unit = shape.length * shape.unit, shape.unit
+                length, unit, text = shape.length * shape.brief, shape.brief, shape.shortened(text)
                 heads = h.astype(">i8").tobytes()
                 for k, (p, a, z) in enumerate(zip(place.tolist(), lo.tolist(), hi.tolist(), strict=True)):
                     at = p * unit

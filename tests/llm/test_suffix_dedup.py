@@ -25,7 +25,7 @@ def brute_across(texts, length):
 
 def made(texts, shape, ranges, run, size):
     """The operator's steps without Spark, and without the filter on hashes. Texts are bytes, or words' codes."""
-    runs, held, away, unit = [], {}, [], shape.unit
+    runs, held, away, unit = [], {}, [], shape.brief
 
     def flush():
         out = {}
@@ -44,7 +44,7 @@ def made(texts, shape, ranges, run, size):
         for d, p, a, z, x in zip(doc.tolist(), place.tolist(), lo.tolist(), hi.tolist(), h.tolist(), strict=True):
             row, offset, _ = chunk[d]
             p += offset
-            text = texts[row]
+            text = shape.shortened(texts[row])
             at = p * unit
             held.setdefault((x.to_bytes(8, "big") + text[at : at + shape.length * unit], text[at - z * unit : at], a * unit, z * unit), []).append((row, p))
             count += 1
@@ -54,7 +54,7 @@ def made(texts, shape, ranges, run, size):
     found = [[] for _ in texts]
     for r in range(ranges):
         for row, place, a, b, kind in s.merge_range([x[r] for x in runs if r in x], [shape]):
-            assert kind == (unit > 1)
+            assert kind == (shape.unit > 1)
             for i, p in away[place] if row < 0 else [(row, place)]:
                 found[i].append((p + a, p + b))
     return [s.spans_of(x) for x in found]
