@@ -51,31 +51,51 @@ def gram_starts(length: int, size: int, include_last: bool = False) -> int:
     return max(0, length - size + (1 if include_last or size > 4 else 0))
 
 
-def _grams(data: bytes, size: int, include_last: bool) -> np.ndarray:
-    """The distinct n-grams in order, as rows of bytes."""
+def _wide(data: bytes, size: int, include_last: bool) -> np.ndarray:
+    """The distinct n-grams of up to eight bytes in order, as numbers."""
     n = gram_starts(len(data), size, include_last)
-    if not n:
-        return np.zeros((0, size), dtype=np.uint8)
-    if size > 8:
-        return np.unique(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), size)[:n], axis=0)
     wide = np.zeros(n, dtype=np.uint64)
     flat = np.frombuffer(data, dtype=np.uint8)
-    for k in range(size):
+    for k in range(size if n else 0):
         wide = (wide << np.uint64(8)) | flat[k : k + n]
-    return np.unique(wide).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :]
+    return np.unique(wide)
 
 
-def byte_ngrams(samples: DataFrame, *, sample: str, content: str, sizes=NGRAM_SIZES, include_last: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(sample, carried columns, size, token binary) distinct. A sample is one row, so its distinct tokens need no shuffle."""
+def _grams(data: bytes, size: int, include_last: bool, known: np.ndarray | None = None) -> np.ndarray:
+    """The distinct n-grams in order, as rows of bytes; with known (sorted numbers, or rows as bytes), those among them."""
+    if size > 8:
+        n = gram_starts(len(data), size, include_last)
+        if not n:
+            return np.zeros((0, size), dtype=np.uint8)
+        rows = np.unique(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), size)[:n], axis=0)
+        return rows if known is None else rows[np.isin(rows.view(f"V{size}").ravel(), known)]
+    wide = _wide(data, size, include_last)
+    if known is not None:
+        at = np.searchsorted(wide, known)
+        at[at == len(wide)] = 0
+        wide = known[wide[at] == known] if len(wide) else wide
+    return wide.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :]
+
+
+def byte_ngrams(samples: DataFrame, *, sample: str, content: str, sizes=NGRAM_SIZES, include_last: bool = False, carry: tuple[str, ...] = (), only: list[bytes] | None = None) -> DataFrame:
+    """(sample, carried columns, size, token binary) distinct. A sample is one row, so its distinct tokens need no shuffle.
+
+    only: a selected vocabulary; other n-grams then never leave the worker.
+    """
     own = [sample, *carry]
     rows = samples.select(content, *own)
+    known: dict[int, np.ndarray | None] = dict.fromkeys(sizes)
+    if only is not None:
+        for size in sizes:
+            words = sorted({w for w in only if len(w) == size})
+            known[size] = np.array([int.from_bytes(w, "big") for w in words], dtype=np.uint64) if size <= 8 else np.array(words, dtype=f"V{size}")
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 data = b.column(0)[i].as_py() or b""
                 for size in sizes:
-                    grams = _grams(data, size, include_last)
+                    grams = _grams(data, size, include_last, known[size])
                     for at in range(0, len(grams), 1 << 20):
                         part = np.ascontiguousarray(grams[at : at + (1 << 20)])
                         offsets = np.arange(0, part.size + 1, size, dtype=np.int32)

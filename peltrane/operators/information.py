@@ -41,13 +41,16 @@ class Classes:
         return F.greatest(F.lit(0.0), bits / F.lit(math.log2(base)))
 
 
-def labelled_gain(tokens: DataFrame, labels: DataFrame, *, label: str, by=("token",), bounds: tuple[int, int] | None = None, base: float = 2.0) -> DataFrame:
+def labelled_gain(tokens: DataFrame, labels: DataFrame, *, label: str, by=("token",), bounds: tuple[int, int] | None = None, base: float = 2.0, strict: bool = False) -> DataFrame:
     """(token, ..., df, ig) in one pass: presence gain of tokens that carry their sample's label.
 
     tokens: distinct (sample, token) rows with the label beside; labels: one row per sample. bounds: only tokens whose
-    document frequency is strictly between them; it is the sum of the cells, so no vocabulary is joined back.
+    document frequency is strictly between them; it is the sum of the cells, so no vocabulary is joined back. Tokens without a
+    label don't count; strict: they are an error.
     """
     classes = Classes(labels, label)
+    if strict:
+        tokens = tokens.withColumn(label, F.coalesce(label, F.raise_error(F.lit("a sample has no label")).cast(dict(tokens.dtypes)[label])))
     cells = tokens.where(F.col(label).isNotNull()).groupBy(*by, F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
     sums = classes.sums(cells, list(by))
     if bounds:
@@ -55,14 +58,16 @@ def labelled_gain(tokens: DataFrame, labels: DataFrame, *, label: str, by=("toke
     return sums.select(*by, F.col("_n1").alias("df"), classes.gain(F.col("_f1") - _f(F.col("_n1")), base).alias("ig"))
 
 
-def information_gain(pairs: DataFrame, labels: DataFrame, *, sample: str, label: str, by=("token",), value: str | None = None, base: float = 2.0) -> DataFrame:
+def information_gain(pairs: DataFrame, labels: DataFrame, *, sample: str, label: str, by=("token",), value: str | None = None, base: float = 2.0, strict: bool = False) -> DataFrame:
     """(token, ..., ig). pairs: distinct (sample, token[, value]); labels: (sample, label), one row per sample.
 
     value: a column of integer values, each a category; without it presence is the category. Pairs of samples without
-    a label don't count, as with an inner join.
+    a label don't count, as with an inner join; strict: they are an error.
     """
     classes, keys = Classes(labels, label), list(by)
-    known = pairs.join(labels.select(sample, F.col(label).alias("_y")), sample)
+    known = pairs.join(labels.select(sample, F.col(label).alias("_y")), sample, "left" if strict else "inner")
+    if strict:
+        known = known.withColumn("_y", F.coalesce("_y", F.raise_error(F.concat(F.lit("no label for sample "), F.col(sample).cast("string"))).cast(dict(known.dtypes)["_y"])))
     cells = known.groupBy(*keys, *([value] if value else []), "_y").agg(F.count(F.lit(1)).alias("_c"))
     if not value:
         return classes.sums(cells, keys).select(*keys, classes.gain(F.col("_f1") - _f(F.col("_n1")), base).alias("ig"))
@@ -71,8 +76,8 @@ def information_gain(pairs: DataFrame, labels: DataFrame, *, sample: str, label:
     return sums.join(present, keys).select(*keys, classes.gain(F.col("_present"), base).alias("ig"))
 
 
-def tfidf_gain(tokens: DataFrame, labels: DataFrame, frequencies: DataFrame, n: int, *, sample: str, label: str, base: float = 2.0) -> DataFrame:
+def tfidf_gain(tokens: DataFrame, labels: DataFrame, frequencies: DataFrame, n: int, *, sample: str, label: str, base: float = 2.0, strict: bool = False) -> DataFrame:
     """Information gain with the TF-IDF weight as category: it tells counts apart unless idf is 0 (df = n - 1), where gain is 0."""
     counts = tokens.select(sample, "token", "tf")
-    gain = information_gain(counts, labels, sample=sample, label=label, value="tf", base=base)
+    gain = information_gain(counts, labels, sample=sample, label=label, value="tf", base=base, strict=strict)
     return gain.join(frequencies, "token").select("token", F.when(F.col("df") == n - 1, F.lit(0.0)).otherwise(F.col("ig")).alias("ig"))

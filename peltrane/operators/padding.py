@@ -7,29 +7,49 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vocabulary import BROADCAST_TOKENS
+
+
+def _numbered(tokens: DataFrame, words: list) -> DataFrame:
+    """The tokens that are in the vocabulary, with their places in it. The vocabulary is broadcast up to BROADCAST_TOKENS words."""
+    kind = tokens.schema["token"].dataType.simpleString()
+    known = tokens.sparkSession.createDataFrame([(bytearray(w) if isinstance(w, bytes) else w, k) for k, w in enumerate(words)], f"token {kind}, _at int")
+    return tokens.join(F.broadcast(known) if len(words) <= BROADCAST_TOKENS else known, "token")
+
+
+def _filled(places: Column, size: int, default: Column, value) -> Column:
+    """An array of `size` defaults with value(p) at each of the ascending places p, in one pass: gaps and values by turns."""
+    at = lambda p: p["_at"]
+    before = lambda i: F.when(i > 0, at(F.get(places, i - 1))).otherwise(F.lit(-1))
+    parts = F.flatten(F.transform(places, lambda p, i: F.concat(F.array_repeat(default, at(p) - before(i) - 1), F.array(value(p)))))
+    return F.concat(parts, F.array_repeat(default, F.lit(size) - 1 - F.coalesce(at(F.try_element_at(places, F.lit(-1))), F.lit(-1))))
+
+
+def _padded(samples: DataFrame, hits: DataFrame, size: int, default: Column, value, sample: str, out: str) -> DataFrame:
+    own = hits.groupBy(sample).agg(F.array_sort(F.collect_set(F.struct("_at", *[c for c in hits.columns if c not in ("_at", "token", sample)]))).alias("_hits"))
+    filled = F.when(F.col("_hits").isNull(), F.array_repeat(default, size)).otherwise(_filled(F.col("_hits"), size, default, value))
+    return samples.join(own, sample, "left").withColumn(out, filled).drop("_hits")
+
 
 def pad_presence(samples: DataFrame, tokens: DataFrame, vocabulary: list, *, sample: str, out: str = "features") -> DataFrame:
     """samples with an array of booleans, one for each vocabulary token in order; samples without tokens are all false.
 
-    The vocabulary is a selected one (thousands), so it travels as a literal; tokens outside of it go before the shuffle.
+    Tokens outside of the (selected) vocabulary go before the shuffle; a row costs its hits and the array's length.
     """
     words = sorted(vocabulary)
     if not words:
         return samples.withColumn(out, F.array().cast("array<boolean>"))
-    table = F.array(*[F.lit(w) for w in words])
-    hits = tokens.where(F.col("token").isin(words)).groupBy(sample).agg(F.collect_set("token").alias("_hits"))
-    flags = F.transform(table, lambda w: F.coalesce(F.array_contains(F.col("_hits"), w), F.lit(False)))
-    return samples.join(hits, sample, "left").withColumn(out, flags).drop("_hits")
+    hits = _numbered(tokens.select(sample, "token"), words)
+    return _padded(samples, hits, len(words), F.lit(False), lambda p: F.lit(True), sample, out)
 
 
 def pad_weights(samples: DataFrame, weights: DataFrame, vocabulary: list, *, sample: str, out: str = "weights") -> DataFrame:
-    """samples with an array of doubles, one for each vocabulary token in order; absent tokens weigh 0."""
+    """samples with an array of doubles, one for each vocabulary token in order; absent tokens weigh 0. weights: (sample, token, weight), one each."""
     words = sorted(vocabulary)
     if not words:
         return samples.withColumn(out, F.array().cast("array<double>"))
-    table = F.array(*[F.lit(w) for w in words])
-    own = weights.where(F.col("token").isin(words)).groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("_own"))
-    return samples.join(own, sample, "left").withColumn(out, F.transform(table, lambda w: F.coalesce(F.try_element_at(F.col("_own"), w), F.lit(0.0)))).drop("_own")
+    hits = _numbered(weights.select(sample, "token", "weight"), words)
+    return _padded(samples, hits, len(words), F.lit(0.0), lambda p: p["weight"], sample, out)
 
 
 def bits_text(flags: Column) -> Column:

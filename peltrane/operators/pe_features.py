@@ -75,8 +75,8 @@ def section_error(pe: Column) -> Column:
     return F.coalesce(pe["error"], F.when(entry_section(pe).isNull(), F.lit("no section holds the entry point")))
 
 
-def section_features(files: DataFrame, pe: str = "pe") -> DataFrame:
-    """files with the 713 section features, padded, and section_error. Files with an error have padding alone."""
+def section_features(files: DataFrame, pe: str = "pe", prefix: str = "") -> DataFrame:
+    """files with the 713 section features (those of a prefix), padded, and section_error. Files with an error have padding alone."""
     p = F.col(pe)
     f = files.withColumn("section_error", section_error(p)).withColumn("_entry", entry_section(p))
     none = F.array().cast("array<double>")
@@ -89,6 +89,8 @@ def section_features(files: DataFrame, pe: str = "pe") -> DataFrame:
     good = F.col("section_error").isNull()
     out = []
     for name, kind in section_schema():
+        if not name.startswith(prefix):
+            continue
         if name.startswith("pesectionProcessed_entrypointSection_"):
             value = _part(F.col("_entry"), name.removeprefix("pesectionProcessed_entrypointSection_"), kind)
         elif name == "pesectionProcessed_resources_nb":

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Vocabularies of up to this many tokens are broadcast; larger ones are joined as Spark plans it.
 BROADCAST_TOKENS = 200_000
+#: Hex digits of the digest that subsample() counts by.
+DRAW_DIGITS = 4
 
 
 def occurrences(tokens: DataFrame, by=("token",)) -> DataFrame:
@@ -47,8 +49,19 @@ def top_k(frequencies: DataFrame, k: int) -> DataFrame:
 
 
 def subsample(rows: DataFrame, n: int, *, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, the same on every run: in order of the md5 of key and seed. All of them if there are fewer."""
-    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary")), F.col(key)).limit(n)
+    """n rows without replacement, the same on every run: the first in order of the md5 of key and seed. All of them if there are fewer.
+
+    The rows are counted by the digest's first digits, from the key alone; of the buckets below the cut all rows stay where they are,
+    and only the bucket that holds the cut is ordered. So no task holds n rows, and wide columns of the others never move.
+    """
+    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary"))
+    bucket = F.conv(F.substring(draw, 1, DRAW_DIGITS), 16, 10).cast("int")
+    below = 0
+    for b, size in sorted(tuple(r) for r in rows.groupBy(bucket).count().collect()):  # 16 ** DRAW_DIGITS at most
+        if below + size >= n:
+            return rows.where(bucket < b).unionByName(rows.where(bucket == b).orderBy(draw, F.col(key)).limit(n - below))
+        below += size
+    return rows
 
 
 def members(tokens: DataFrame, vocabulary: DataFrame, size: int | None = None, on=("token",)) -> DataFrame:

@@ -301,8 +301,9 @@ def flagship(spark, sf_dir):
     grams = [r["token"] for r in top.collect()]  # PAD_TOP rows
     base = files.select("doc_id", "family", F.octet_length("content").cast("long").alias("generic_filesize"), _r6(tokens.byte_entropy(F.col("content"))).alias("generic_fileentropy"))
     rows = padding.pad_presence(base, _strings(spark, sf_dir), words, sample="doc_id", out="strings")
-    own = tokens.byte_ngrams(files, sample="doc_id", content="content", sizes=(4,)).select("doc_id", F.hex("token").alias("token"))
-    rows = padding.pad_presence(rows, own, grams, sample="doc_id", out="grams")
+    known = [bytes.fromhex(g) for g in grams]
+    own = tokens.byte_ngrams(files, sample="doc_id", content="content", sizes=(4,), only=known).select("doc_id", "token")
+    rows = padding.pad_presence(rows, own, known, sample="doc_id", out="grams")
     return rows.select("doc_id", "family", "generic_filesize", "generic_fileentropy", padding.bits_text(F.col("strings")).alias("strings"), padding.bits_text(F.col("grams")).alias("grams"))
 
 

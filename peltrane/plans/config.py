@@ -21,6 +21,7 @@ class Config:
     sequence_max: int = 3
     ig_threshold: float = 0.36
     ig_base: float = 2.0
+    broadcast_files: int = 500_000  # a split of up to this many files (64-byte keys) is broadcast to them
     include_last: bool = False  # the last n-gram of a file or sequence, which is left out by default
     import_counts: str = "occurrence"  # or "document"
     opcode_bounds: str = "vocabulary"  # or "samples"

@@ -34,9 +34,13 @@ class Family:
 
 
 class Pipeline:
-    """select() and build() over an experiment folder; run() does both."""
+    """select() and build() over an experiment folder; run() does both.
 
-    def __init__(self, spark: SparkSession, config: Config, experiment: str, decoder: disassembly.Decoder = disassembly.capstone_decoder, families: tuple[Family, ...] = ()):
+    files (sha256, family, length, content) and split (sha256, split) stand in for the config's folders.
+    """
+
+    def __init__(self, spark: SparkSession, config: Config, experiment: str, decoder: disassembly.Decoder = disassembly.capstone_decoder, families: tuple[Family, ...] = (), files: DataFrame | None = None, split: DataFrame | None = None):
+        self.files, self.split = files, split
         self.spark, self.config, self.experiment, self.decoder, self.families = spark, config, experiment.rstrip("/"), decoder, families
 
     def _stored(self, name: str, make: Callable[[], DataFrame], *partition: str) -> DataFrame:
@@ -49,8 +53,10 @@ class Pipeline:
         """(sha256, family, split, length, content, pe, ops): labelled files, parsed and disassembled once."""
 
         def make() -> DataFrame:
-            split = samples.load_split(self.spark, self.config.split).select(KEY, "split")
-            files = samples.read_files(self.spark, self.config.files).join(split, KEY).withColumn("pe", pe.parse_pe(F.col("content")))
+            split = self.split if self.split is not None else samples.load_split(self.spark, self.config.split).select(KEY, "split")
+            found = self.files if self.files is not None else samples.read_files(self.spark, self.config.files)
+            small = split.limit(self.config.broadcast_files + 1).count() <= self.config.broadcast_files  # so contents aren't shuffled
+            files = found.join(F.broadcast(split) if small else split, KEY).withColumn("pe", pe.parse_pe(F.col("content")))
             return files.withColumn("ops", disassembly.disassemble(F.col("pe"), self.decoder)).withColumn("pe", F.col("pe").dropFields("code"))
 
         return self._stored("parsed", make)
@@ -59,8 +65,8 @@ class Pipeline:
         good = files.where(F.col("ops.error").isNull()).select(KEY, F.col("ops.items").alias("items"))
         return tokens.sequence_ngrams(good, sample=KEY, items="items", longest=self.config.sequence_max, include_last=self.config.include_last)
 
-    def grams(self, files: DataFrame) -> DataFrame:
-        return tokens.byte_ngrams(files, sample=KEY, content="content", include_last=self.config.include_last)
+    def grams(self, files: DataFrame, only: list[bytes] | None = None) -> DataFrame:
+        return tokens.byte_ngrams(files, sample=KEY, content="content", include_last=self.config.include_last, only=only)
 
     # -- Selection -------------------------------------------------------------------------------------------------------
 
@@ -80,7 +86,7 @@ class Pipeline:
         some = vocabulary.subsample(train.select(KEY, "family", "content"), self.config.sample_files, key=KEY, seed=self.config.seed)
         some = self._stored("sample", lambda: some)
         grams = tokens.byte_ngrams(some, sample=KEY, content="content", include_last=self.config.include_last, carry=("family",))
-        gains = information.labelled_gain(grams, some.select(KEY, "family"), label="family", by=("size", "token"), bounds=vocabulary.absolute_bounds(some.count()), base=self.config.ig_base)
+        gains = information.labelled_gain(grams, some.select(KEY, "family"), label="family", by=("size", "token"), bounds=vocabulary.absolute_bounds(some.count()), base=self.config.ig_base, strict=True)
         gains = self._stored("sample_gains", lambda: gains)
         if gains.count() > self.config.sample_grams:
             gains = vocabulary.subsample(gains.withColumn("_name", F.hex("token")), self.config.sample_grams, key="_name", seed=self.config.seed)
@@ -94,7 +100,7 @@ class Pipeline:
         base = df.count() if self.config.opcode_bounds == "vocabulary" else n
         known = vocabulary.prevalent(df, vocabulary.relative_bounds(base, self.config.import_percent))
         kept = vocabulary.members(found, known)
-        gains = information.tfidf_gain(kept, good, known, n, sample=KEY, label="family", base=self.config.ig_base)
+        gains = information.tfidf_gain(kept, good, known, n, sample=KEY, label="family", base=self.config.ig_base, strict=True)
         return gains.select(F.lit("opcode").alias("kind"), F.encode("token", "UTF-8").alias("token"), "ig")
 
     def select(self) -> DataFrame:
@@ -139,7 +145,7 @@ class Pipeline:
         if strings := self._words(known, "string"):
             rows = padding.pad_presence(rows, tokens.string_tokens(files, sample=KEY, content="content"), strings, sample=KEY, out="strings")
         if grams := self._words(known, "byte", binary=True):
-            rows = padding.pad_presence(rows, self.grams(files).select(KEY, "token"), grams, sample=KEY, out="ngrams")
+            rows = padding.pad_presence(rows, self.grams(files, grams).select(KEY, "token"), grams, sample=KEY, out="ngrams")
         if words := self._words(known, "opcode"):
             df = known.where("kind = 'opcode'").select(F.decode("token", "UTF-8").alias("token"), "df")
             weights = vocabulary.tfidf(self.sequence_tokens(files), df, files.count())
