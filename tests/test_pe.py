@@ -9,9 +9,9 @@ from peltrane.operators import pe_features, vocabulary
 from peltrane.plans.config import Config
 from peltrane.plans.pipeline import Family, Pipeline
 from peltrane.sources import disassembly, pe, samples
+from peltrane.sources.pe_writer import build
 from peltrane.streaming import extraction
 
-from .pe_files import build
 
 
 def frame(spark, files):
