@@ -6,6 +6,11 @@ from . import embeddings, license_scan, mixing, packing, pii, quality_rules, sim
 from .common import table
 
 
+def pii_key(spark) -> str:
+    """The session's key; synthetic tables need no secret one."""
+    return spark.conf.get("spark.peltrane.pii.key", "synthetic tables only")
+
+
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,7 +28,7 @@ def op4_mixing(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark, sf_dir):
@@ -43,7 +48,7 @@ def op9_embeddings(spark, sf_dir):
 
 
 def op10_pii(spark, sf_dir):
-    return pii.surrogates(table(spark, sf_dir, "documents"))
+    return pii.surrogates(table(spark, sf_dir, "documents"), key=pii_key(spark))
 
 
 QUERIES = {
