@@ -1,10 +1,15 @@
 """Quality rules on documents, and host-level rules made of them.
 
 Per document: words are `[^\\x20\\x09-\\x0D]+`; word_chars, n_symbols, n_dup_lines and n_repeat_words as in the contract;
-base_failed if n_words < 50 or 100 * n_repeat_words > 50 * n_words. Per host (the `source` column; null is a host of its
-own): failures are summed, and the rate is shrunk with a beta prior fitted to all hosts' rates by their mean and variance:
-strength = mean * (1 - mean) / variance - 1, held in [1, 1000]; rate = (failures + mean * strength) / (n + strength). A
-host with a shrunk rate above host_threshold is rejected, and with it all of its documents.
+base_failed if n_words < 50 or 100 * n_repeat_words > 50 * n_words. Those are the rules `short` and `repeats`; three more
+count for hosts alone: `symbols` (over one for ten words), `lines` (over three in ten lines repeat an earlier one) and
+`word_length` (a mean below 3 or above 10).
+
+Per host (the `source` column; null is a host of its own) and rule, the documents that fail it are counted. Each rule has a beta
+prior fitted to all hosts' rates by their mean and variance: strength = mean * (1 - mean) / variance - 1, held in [4, 1000];
+a host's rate is shrunk to (failures + mean * strength) / (n + strength). A host is rejected by a rule if its shrunk rate is in
+the prior's upper tail, over `tail` standard deviations above the mean, and over half (`least_rate`): most of what it has is junk then. With the
+host go all of its documents; host_rules names the rules that reject it.
 
 All in Spark's own expressions. Row-local work is done once and written to the shared folder; the host sums are partial
 aggregates, so a hot host costs one row for each task; the verdicts are joined back, by broadcast only if Spark's size
@@ -22,7 +27,16 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, materialize, spread
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-HOST_THRESHOLD = 0.8
+TAIL, LEAST_RATE = 3.0, 0.5
+#: Rules that hosts are judged by, in terms of the measures (SQL of Spark and of other engines). Fixed values.
+RULES = (
+    ("short", f"n_words < {MIN_WORDS}"),
+    ("repeats", f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"),
+    ("symbols", "10 * n_symbols > n_words"),
+    ("lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("word_length", "word_chars < 3 * n_words OR word_chars > 10 * n_words"),
+)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def word_array(text: Column) -> Column:
@@ -46,58 +60,60 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(windows, marked))
 
 
-def _dup_lines(text: Column) -> Column:
+def _lines(text: Column) -> Column:
+    """Lines with a word, and those of them that are equal to an earlier one."""
     worded = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
-    return let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return let(worded, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
 
 
 def measured(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines."""
     text = F.coalesce(text, F.lit(""))
-    return let(
-        word_array(text),
-        lambda w: F.struct(
+
+    def of(w: Column, lines: Column) -> Column:
+        return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            _dup_lines(text).alias("n_dup_lines"),
+            lines["again"].alias("n_dup_lines"),
             _repeat_words(w).alias("n_repeat_words"),
-        ),
-    )
-
-
-def measure(docs: DataFrame, *, text_col: str = "text", into: str = "_m") -> DataFrame:
-    return docs.withColumn(into, measured(F.col(text_col)))
-
+            lines["n"].alias("n_lines"),
+        )
 
-def base_failed(m: str) -> Column:
-    n = F.col(f"{m}.n_words")
-    return (n < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    return let(word_array(text), lambda w: let(_lines(text), lambda lines: of(w, lines)))
 
 
-def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
-    """_host, n, failures, host_rate (shrunk). rows: one per document; failed: boolean column."""
-    hosts = rows.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("failures"))
-    rate = F.col("failures") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance")).first()  # one row
-    mean, variance = prior["mean"] or 0.0, prior["variance"] or 0.0
-    strength = max(1.0, min(1000.0, mean * (1 - mean) / variance - 1)) if variance > 0 else 1000.0
-    return hosts.withColumn("host_rate", (F.col("failures") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
+def host_verdicts(rows: DataFrame, *, tail: float = TAIL, least_rate: float = LEAST_RATE) -> DataFrame:
+    """_host, n, and host_rules: the rules that reject the host, comma-joined. rows: one per document, _host and the measures."""
+    count = lambda rule: F.sum(F.expr(f"CAST({rule} AS INT)")).cast("long")
+    hosts = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *[count(f"({r})").alias(f"f_{k}") for k, r in RULES])
+    moments = [f(F.col(f"f_{k}") / F.col("n")).alias(f"{name}_{k}") for k, _ in RULES for name, f in (("mean", F.avg), ("var", F.var_pop))]
+    prior = hosts.agg(*moments).first()  # one row
+    said = []
+    for k, _ in RULES:
+        mean, variance = prior[f"mean_{k}"] or 0.0, prior[f"var_{k}"] or 0.0
+        strength = max(4.0, min(1000.0, mean * (1 - mean) / variance - 1)) if variance > 0 else 1000.0
+        limit = max(least_rate, mean + tail * (mean * (1 - mean) / (strength + 1)) ** 0.5)
+        rate = (F.col(f"f_{k}") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+        said.append(F.when(rate > limit, F.lit(k)))
+    return hosts.select("_host", "n", F.concat_ws(",", *said).alias("host_rules"))
 
 
-def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_threshold: float = HOST_THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """doc_id, the measures, base_failed, host_rate, kept; with keep_columns, the input's rows as a struct `_doc`, and `_kept`."""
+def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_columns: bool = False, **options) -> DataFrame:
+    """doc_id, the measures, base_failed, kept, host_rules; with keep_columns, the input's rows as a struct `_doc`, and `_kept`."""
     if keep_columns:
         rows = spread(docs).select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_doc"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
     else:
         rows = spread(docs.select(*dict.fromkeys([id_col, host_col, text_col]))).select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), measured(F.col(text_col)).alias("_m"))
-    rows = materialize(rows.withColumn("_failed", base_failed("_m")), "quality")
-    hosts = materialize(host_rates(rows, "_source", "_failed").select("_host", "host_rate"), "hosts")  # its size is then known
-    joined = rows.join(hosts, F.col("_source").eqNullSafe(F.col("_host")), "left")
-    kept = ~F.col("_failed") & (F.col("host_rate") <= host_threshold)
+    rows = materialize(rows, "quality")
+    hosts = host_verdicts(rows.select(F.col("_source").alias("_host"), "_m.*"), **options).select("_host", "host_rules")
+    joined = rows.join(materialize(hosts, "hosts"), F.col("_source").eqNullSafe(F.col("_host")), "left")  # written, so its size is known
+    n, repeated = F.col("_m.n_words"), F.col("_m.n_repeat_words")
+    failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+    kept = ~failed & (F.col("host_rules") == "")
     if keep_columns:
         return joined.select("_doc", kept.alias("_kept"))
-    return joined.select("doc_id", "_m.*", F.col("_failed").alias("base_failed"), "host_rate", kept.alias("kept"))
+    return joined.select("doc_id", *[f"_m.{c}" for c in MEASURES], failed.alias("base_failed"), kept.alias("kept"), "host_rules")
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
@@ -114,13 +130,14 @@ c AS (SELECT rid, i, CASE WHEN z IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY
 f AS (SELECT rid, greatest(n, lag(n, 1, 0) OVER s, lag(n, 2, 0) OVER s) >= 2 AS hit FROM c WINDOW s AS (PARTITION BY rid ORDER BY i)),
 g AS (SELECT rid, count(*) FILTER (WHERE hit) AS n_repeat_words FROM f GROUP BY rid),
 m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[{SPACE}]+', '', 'g')) AS BIGINT) AS word_chars,
-  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
   FROM w LEFT JOIN g USING (rid)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b GROUP BY source),
-pr AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS v FROM h),
-ps AS (SELECT mean, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, mean * (1 - mean) / v - 1)) ELSE 1000.0 END AS s FROM pr),
-hr AS (SELECT source, (f + mean * s) / (n + s) AS host_rate FROM h, ps)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= {HOST_THRESHOLD} AS kept
+h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {r}) AS f_{k}" for k, r in RULES)} FROM b GROUP BY source),
+l AS (SELECT source, n, unnest([{", ".join(f"{{'rule': '{k}', 'place': {i}, 'f': f_{k}}}" for i, (k, _) in enumerate(RULES))}], recursive := true) FROM h),
+pr AS (SELECT rule, avg(f / n) AS mean, var_pop(f / n) AS v FROM l GROUP BY rule),
+ps AS (SELECT rule, mean, CASE WHEN v > 0 THEN greatest(4.0, least(1000.0, mean * (1 - mean) / v - 1)) ELSE 1000.0 END AS s FROM pr),
+hr AS (SELECT source, coalesce(string_agg(rule, ',' ORDER BY place) FILTER (WHERE (f + mean * s) / (n + s) > greatest({LEAST_RATE}, mean + {TAIL} * sqrt(mean * (1 - mean) / (s + 1)))), '') AS host_rules FROM l JOIN ps USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rules = '' AS kept, host_rules
 FROM b JOIN hr ON b.source IS NOT DISTINCT FROM hr.source
 """
