@@ -97,6 +97,93 @@ SENTENCES = (
     ("warranty", "provided", "provided (?:by [^ ]+(?: [^ ]+){0,4} )?as is"),
     ("warranty", "without warranty", "without warranty of any kind"),
     ("licensed", "licensed under", "licensed under(?: the)?(?: terms of)?"),
+    # grants, conditions and disclaimers of software licenses
+    ("mit", "above copyright notice", "the above copyright notice and this permission notice shall be included in all(?: copies or substantial portions of the software)?"),
+    ("mit", "in no event", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "use of this source code", "use of this source code is governed by a bsd style license(?: that can be found in the license file)?"),
+    ("gpl", "can redistribute it", "you can redistribute it and or modify it under the terms of (?:version [0-9] of )?the gnu general public license"),
+    ("lgpl", "can redistribute it", "you can redistribute it and or modify it under the terms of (?:version [0-9] of )?the gnu (?:lesser|library) general public license"),
+    ("agpl", "can redistribute it", "you can redistribute it and or modify it under the terms of (?:version [0-9] of )?the gnu affero general public license"),
+    ("gpl", "be useful", "distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "received a copy of the gnu", "you should have received a copy of the gnu general public license"),
+    ("lgpl", "received a copy of the gnu", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", "received a copy of the gnu", "you should have received a copy of the gnu affero general public license"),
+    ("gpl", "published by the free software foundation", "as published by the free software foundation"),
+    ("gpl-2.0", "temple place", "59 temple place(?: suite 330)?"),
+    ("agpl", "remotely through a computer network", "(?:users )?interact(?:ing)? with it remotely through a computer network"),
+    ("gfdl", "no invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl", "permission is granted to copy", "permission is granted to copy distribute and or modify this document"),
+    ("apache-2.0", "you may not use this file", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "apache org licenses", "www apache org licenses license 2 0"),
+    ("apache", "apache software foundation", "software developed (?:by|at) the apache software foundation"),
+    ("apache", "contributor license agreements", "(?:asf )?under one or more contributor license agreements"),
+    ("mpl", "subject to the mozilla", "the contents of this file are subject to the mozilla public license"),
+    ("mpl-2.0", "mpl was not distributed", "if a copy of the mpl was not distributed with this file"),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "common development and distribution", "subject to the terms of the common development and distribution license"),
+    ("isc", "appear in all copies", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "author disclaims all warranties", "the author disclaims all warranties with regard to this software"),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such"),
+    ("zlib", "origin of this software", "the origin of this software must not be misrepresented"),
+    ("zlib", "permission is granted to anyone", "permission is granted to anyone to use this software for any purpose(?: including commercial applications)?"),
+    ("bsl-1.0", "license 1 0 txt", "(?:see accompanying file|copy at https? www boost org) license 1 0 txt"),
+    ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "you just do what", "you just do what the [^ ]+ you want to"),
+    ("python", "psf hereby grants", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("artistic", "same terms as perl", "under the same terms as perl(?: itself)?"),
+    ("ofl", "reserved font name", "with reserved font name"),
+    ("ofl", "this font software", "this font software is licensed under the sil open font license"),
+    ("beer", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("jquery", "dual licensed", "dual licensed under the mit (?:and|or) gpl(?: version 2)? licenses"),
+    ("patent", "royalty free", "grants (?:to )?you a (?:perpetual )?(?:worldwide )?(?:non exclusive )?(?:no charge )?royalty free (?:irrevocable )?(?:copyright|patent) license"),
+    # public domain and works shared openly
+    ("cc0", "waived all copyright", "waived all copyright and related or neighbou?ring rights"),
+    ("cc0", "publicdomain zero", "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "publicdomain mark", "creativecommons org publicdomain mark 1 0"),
+    ("public-domain", "not subject to copyright", "not subject to copyright(?: protection)?(?: in the united states)?"),
+    ("public-domain", "government", "(?:is )?a work of the (?:u s|united states) (?:federal )?government"),
+    ("public-domain", "copyright has expired", "(?:its|whose|the) copyright has expired"),
+    ("public-domain", "gutenberg", "the project gutenberg license included with this ebook"),
+    ("cc-by", "open access article", "this is an open access article (?:distributed )?under the (?:terms (?:and conditions )?of the )?creative commons attribution(?: cc by)? license"),
+    ("cc-by-sa", "share alike license", "text is available under the creative commons attribution share alike license"),
+    ("cc-by-sa", "sharealike license", "text is available under the creative commons attribution sharealike license"),
+    ("odbl", "openstreetmap contributors", "openstreetmap contributors"),
+    ("ogl", "open government", "contains public sector information licensed under the open government licence(?: v[0-9] 0)?"),
+    ("cc", "licence creative commons", "mis à disposition selon les termes de la licence creative commons"),
+    ("cc-by", "creative commons namensnennung", "creative commons namensnennung"),
+    ("cc-by", "creative commons reconocimiento", "creative commons reconocimiento"),
+    # reservations and restrictions
+    ("reserved", "alle rechte vorbehalten", "alle rechte vorbehalten"),
+    ("reserved", "tous droits réservés", "tous droits réservés"),
+    ("reserved", "todos los derechos reservados", "todos los derechos reservados"),
+    ("reserved", "tutti i diritti riservati", "tutti i diritti riservati"),
+    ("reserved", "все права защищены", "все права защищены"),
+    ("reserved", "rights not expressly granted", "(?:all )?rights not expressly granted(?: herein)? are reserved"),
+    ("no-derivatives", "no part of this", "no part of this (?:publication|book|document|work|website) may be reproduced"),
+    ("no-derivatives", "retrieval system", "stored in a retrieval system or transmitted in any form or by any means"),
+    ("non-commercial", "non commercial", "for (?:your )?(?:personal (?:and )?)?non commercial (?:use|purposes)(?: only)?"),
+    ("non-commercial", "noncommercial", "for (?:your )?(?:personal (?:and )?)?noncommercial (?:use|purposes)(?: only)?"),
+    ("non-commercial", "research purposes only", "(?:academic|research) (?:and|or) research purposes only"),
+    ("evaluation", "evaluation purposes only", "for evaluation purposes only"),
+    ("proprietary", "strictly forbidden", "reproduction of this material is strictly forbidden"),
+    ("proprietary", "express written", "without (?:the )?(?:prior )?express written (?:permission|consent)"),
+    ("proprietary", "internal use only", "for internal use only"),
+    ("proprietary", "trade secrets", "(?:confidential|proprietary) (?:information )?and trade secrets"),
+    ("proprietary", "unauthorised", "unauthorised (?:copying|use|distribution|reproduction)"),
+    ("proprietary", "end user license agreement", "end user license agreement"),
+    ("proprietary", "reverse engineer", "(?:may|shall|must) not (?:[^ ]+ ){0,6}reverse engineer"),
+    ("proprietary", "published broadcast rewritten", "may not be published broadcast rewritten or redistributed"),
+    ("terms-of-use", "terms of use", "(?:subject to|governed by|agree to) (?:our|the|these) terms of use"),
+    ("terms-of-use", "terms of service", "(?:subject to|governed by|agree to) (?:our|the|these) terms of service"),
+    ("trademark", "registered trademark", "is a registered trademark of"),
+    ("trademark", "registered trademarks", "are registered trademarks of"),
+    ("reprint", "with permission", "(?:reprinted|reproduced|used) (?:here )?with permission"),
+    ("warranty", "fitness for a particular purpose", "(?:the implied )?warranties of merchantability(?: and)? fitness for a particular purpose"),
+    ("warranty", "consequential damages", "incidental(?: special)?(?: exemplary)? or consequential damages"),
 )
 
 
