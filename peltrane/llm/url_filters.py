@@ -43,16 +43,16 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_table(spark, rules) -> DataFrame:
+def rule_table(spark, rules, short: int = SHORT) -> DataFrame:
     """rank (higher wins), rule, verdict, digest, short."""
     ordered = sorted(set(rules), key=lambda r: (r[1].count(".") + 1, len(r[1]), len(r[2]), r[0], r[1], r[2]))
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = ", ".join(f"({k}L, {quote(h + p)}, {quote(v)})" for k, (v, h, p) in enumerate(ordered))
     base = spark.sql(f"SELECT * FROM VALUES {rows or '(0L, CAST(NULL AS STRING), CAST(NULL AS STRING))'} AS t(rank, rule, rule_verdict)")
-    return base.where("rule IS NOT NULL").withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, SHORT))
+    return base.where("rule IS NOT NULL").withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, short))
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", short: int = SHORT) -> DataFrame:
     """page_id, host, path, rule (null: none fits), verdict."""
     spark, rules = pages.sparkSession, tuple(rules)
     shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
@@ -65,12 +65,12 @@ def url_verdicts(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_
         else F.array().cast("array<string>"),
         lambda e: e.isNotNull(),
     )
-    spread = urls.withColumn("digest", F.explode_outer(F.transform(expressions, lambda e: F.sha2(e, 256)))).withColumn("short", F.substring("digest", 1, SHORT))
-    known = rule_table(spark, rules)
+    spread = urls.withColumn("digest", F.explode_outer(F.transform(expressions, lambda e: F.sha2(e, 256)))).withColumn("short", F.substring("digest", 1, short))
+    known = rule_table(spark, rules, short)
     small = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda x: x)
     index = known.select(F.col("short").alias("_short"), F.col("digest").alias("_digest"), F.col("rank").alias("_rank"))
-    hits = spread.join(small(index), (F.col("short") == F.col("_short")) & (F.col("digest") == F.col("_digest")), "left")
-    best = hits.groupBy("_rid", "page_id", "host", "path").agg(F.max("_rank").alias("rank"))
+    hits = spread.join(small(index), F.col("short") == F.col("_short"), "left")  # short prefixes meet; full digests confirm
+    best = hits.groupBy("_rid", "page_id", "host", "path").agg(F.max(F.when(F.col("digest") == F.col("_digest"), F.col("_rank"))).alias("rank"))
     said = best.join(small(known.select("rank", "rule", "rule_verdict")), "rank", "left")
     return said.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
 

@@ -33,5 +33,14 @@ def test_other_rules_and_no_rules(spark):
     assert {r.verdict for r in url_verdicts(pages, (), default="block").collect()} == {"block"}
 
 
+def test_short_prefixes_that_collide_are_told_apart_by_digests(spark):
+    """With one hex digit most expressions meet rules that aren't theirs; the verdicts stay."""
+    pages = spark.createDataFrame([(k, f"http://h{k % 50}.example.org/p{k % 7}/x") for k in range(300)], "page_id long, url string")
+    rules = [("block", f"h{k}.example.org", f"/p{k % 7}") for k in range(0, 50, 3)] + [("allow", "example.org", "/p3/")]
+    rows = lambda **o: sorted(tuple(r) for r in url_verdicts(pages, rules, **o).collect())
+    assert rows(short=1) == rows() == rows(short=64)
+    assert {r[3] for r in rows()} >= {None, "example.org/p3/"}
+
+
 def test_empty(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
