@@ -12,8 +12,8 @@ hundred thousand tokens; a chunk's last window goes on into the next chunk, so m
 left at a partition's end is cut into powers of two if that costs less than its padding.
 
 Token ids are those of the byte-level BPE file. Texts of Latin letters, digits and punctuation only go through tiktoken
-with the same vocabulary and pattern (equal ids, tested); any other text, and any that spells a special token, goes through
-the tokenizers library itself. The vocabulary files are read on the driver and broadcast (about 2.4 MB, fixed).
+with the same vocabulary and pattern (equal ids, tested); any other text, any that spells a special token, and any with a run of
+20,000 blanks or non-blanks goes through the tokenizers library itself. The vocabulary files are read on the driver and broadcast (about 2.4 MB, fixed).
 
 A null or empty text is the end id alone. Very long texts are cut over sequences. Repeated rows and null ids have pieces of
 their own. Columns other than the two named are ignored. An empty table gives an empty result.
@@ -38,6 +38,10 @@ CHUNK_TOKENS = 400_000
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Up to here (Latin letters, accents) both libraries class every character alike.
 PLAIN = re.compile("[\\x00-ɏ]*\\Z")
+#: One piece of the pattern this long (a run of blanks, letters, digits or others) is left to the tokenizers library: tiktoken's
+#: pattern recurses on long runs and ends the process at about a million blanks.
+LONG_RUN = 20_000
+LONG = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
 
 def tokenizer_files(json_path: str | None = None, ranks_path: str | None = None) -> tuple[str, bytes, str]:
@@ -74,7 +78,7 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.array([END_ID], dtype="<u4")
-        if PLAIN.match(text) and not any(s in text for s in self.special):
+        if PLAIN.match(text) and (len(text) < LONG_RUN or not LONG.search(text)) and not any(s in text for s in self.special):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.slow.encode(text, add_special_tokens=False).ids

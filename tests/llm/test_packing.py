@@ -93,5 +93,13 @@ def test_awkward_rows_and_small_chunks(awkward, tokenizer):
     assert padding < 0.05 * total
 
 
+def test_long_runs(spark, tokenizer):
+    """Runs of a million and more blanks, line feeds, letters and digits crash neither library."""
+    texts = [f"a{c * n}b." for c, n in ((" ", 5_000_000), ("\n", 5_000_000), ("x", 300_000), ("7", 1_000_000), ("-", 300_000), ("\u2003", 1_000_000), (" ", p.LONG_RUN - 1), ("ab ", 500_000))]
+    docs = list(enumerate(texts))
+    rows = p.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    held_against(rows, docs, tokenizer)
+
+
 def test_empty(empty):
     assert p.pack(empty).count() == 0
