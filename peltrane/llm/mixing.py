@@ -3,8 +3,8 @@
 1. Sizes are words `[^\\x20\\x09-\\x0D]+`. Sources by code point, null last, get the weights in turn. Targets share the
    total by weight; a target stops at max_repeat times its source's size and the excess is shared again (water-filling,
    solved in closed form over the sources ordered by cap / weight).
-2. The total is cut into blocks of block_words words. Blocks go to sources by highest quotients target / (2 k + 1). The
-   rounding target / block gives all but a few of them; only the quotients around that rounding are ranked.
+2. The total is cut into blocks of block_words words. Blocks go to sources by highest quotients target / (2 k + 1). Rounding
+   gives all but a few of them; only about five quotients of each source are ranked.
 3. Each source is dealt into shards by a seeded hash of the document, one per shard_words words, so a hot source has as
    many shards as its size asks for. Its blocks go to its shards by the same rule on the shards' sizes.
 4. In a shard the documents stand in seeded order and are cut into blocks; a quota of q blocks takes whole rounds of the
@@ -42,15 +42,16 @@ def seeded(*parts: Column) -> Column:
 def apportion(rows: DataFrame, within: list[str], claim: Column, seats: Column, out: str) -> DataFrame:
     """rows with `out`: the seats of each row in its group, by highest quotients claim / (2 k + 1). seats: of the group.
 
-    claim / divisor rounded, the divisor being the group's claims over its seats, gives the seats up to a difference that
-    is at most half the number of rows; so the quotients between that many seats below and above decide.
+    Claims over the divisor that gives T seats, rounded, are T seats up to half the number of rows. So with T less and more than the
+    group's seats by 3 / 2 of the rows (a margin for rounded doubles), each row's seats lie between two numbers, and only the
+    quotients between them are ranked: some 5 for each row, whatever the claims.
     """
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     share = rows.withColumn("_claim", claim.cast("double")).withColumn("_seats", seats.cast("long"))
-    share = share.withColumn("_sum", F.sum("_claim").over(group))
-    share = share.withColumn("_near", F.when(F.col("_sum") > 0, F.floor(F.col("_claim") * F.col("_seats") / F.col("_sum") + 0.5)).otherwise(F.lit(0)).cast("long"))
-    share = share.withColumn("_off", F.col("_seats") - F.sum("_near").over(group)).withColumn("_low", F.greatest(F.lit(0).cast("long"), F.col("_near") - F.abs("_off")))
-    ks = F.when(F.col("_claim") > 0, F.sequence(F.col("_low"), F.col("_near") + F.abs("_off"))).otherwise(F.array().cast("array<bigint>"))
+    share = share.withColumn("_sum", F.sum("_claim").over(group)).withColumn("_margin", 1.5 * F.count(F.lit(1)).over(group) + 1)
+    rounded = lambda t: F.floor(F.col("_claim") * F.greatest(F.lit(0.0), t) / F.col("_sum") + 0.5).cast("long")
+    share = share.withColumn("_low", F.when(F.col("_claim") > 0, rounded(F.col("_seats") - F.col("_margin"))).otherwise(F.lit(0).cast("long")))
+    ks = F.when(F.col("_claim") > 0, F.sequence(F.col("_low"), rounded(F.col("_seats") + F.col("_margin")))).otherwise(F.array().cast("array<bigint>"))
     key = [*within, "_key"]
     tried = share.select(*key, "_claim", "_low", "_seats", F.explode(ks).alias("_k")).withColumn("_q", F.col("_claim") / (2 * F.col("_k") + 1))
     left = F.col("_seats") - F.sum(F.when(F.col("_k") == F.col("_low"), F.col("_low"))).over(group)

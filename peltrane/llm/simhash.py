@@ -106,8 +106,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
     rows = materialize(fingerprints(with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))), "simhash")
     named = _named(rows, distance)
-    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
-    table = named.join(firsts, "component").select("fp", "component_id")
+    firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp").groupBy("component").agg(F.min("first").alias("component_id")), "firsts")
+    table = materialize(named.join(firsts, "component").select("fp", "component_id"), "fp-names")  # tables, so hot keys are split
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -53,7 +53,7 @@ class Automaton:
                     piece.append(False)
                 at = to
             piece[at] = True
-        if missing := [c for c in range(256) if c not in white and not piece[self.next[0].get(c, 0)]]:
+        if missing := [c for c in range(256) if (c not in white or c == 32) and not piece[self.next[0].get(c, 0)]]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         n = len(self.next)
         self.link, self.popped = [-1] * n, [0] * n

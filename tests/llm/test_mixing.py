@@ -75,6 +75,16 @@ def test_apportion_is_sainte_lague(spark):
         assert got == {i: sum(x[1] == i for x in quotients) for i in range(len(claims))}
 
 
+def test_apportion_ranks_few_quotients_of_many_small_claims(spark):
+    """Rounding gives nothing to a thousand small claims; one large claim gets their seats. Work is linear in the rows."""
+    claims = [40] * 1000 + [100_000]
+    seats = sum(claims) // 100
+    rows = spark.createDataFrame(list(enumerate(claims)), "_key long, claim long")
+    got = {r["_key"]: r["won"] for r in m.apportion(rows, [], F.col("claim"), F.lit(seats), "won").collect()}
+    quotients = sorted(((-Fraction(c, 2 * k + 1), i) for i, c in enumerate(claims) for k in range(seats if c > 40 else 3)))[:seats]
+    assert got == {i: sum(x[1] == i for x in quotients) for i in range(len(claims))}
+
+
 def test_mixed_documents_repeats_whole_rows(small):
     want = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in m.mix(small).where("taken > 0").collect()}
     out = m.mixed_documents(small)

@@ -20,6 +20,8 @@ def test_lengths_are_those_of_greedy_longest_match():
 def test_vocabulary_must_hold_single_bytes():
     with pytest.raises(ValueError):
         t.Automaton([b"a", b"b"])
+    with pytest.raises(ValueError):  # nor may the blank be missing: words are looked up after one
+        t.Automaton([bytes([c]) for c in range(256) if c != 32])
 
 
 def test_documents_and_awkward_rows(small, awkward):
