@@ -486,7 +486,8 @@ def merge_range(blocks: list[bytes], shapes: list[Shape]):
 def run_rows(found: DataFrame, shapes: list[Shape], ranges: int, entries: int = RUN_ENTRIES, inline: int = INLINE) -> DataFrame:
     """found (_rid, _bytes, at array<struct<h, place, lo, hi>>) to (range, block, name, rids, places): sorted runs, cut and front-coded.
 
-    Rows without a block are the places of an entry that has over `inline` of them in its run.
+    Rows without a block are the places of an entry that has over `inline` of them in its run. They go to the entry's range, and their
+    name is of the task's attempt, so a range stays whole if a lost task is run again and groups its runs otherwise.
     """
     names = ["range", "block", "name", "rids", "places"]
 
@@ -494,7 +495,7 @@ def run_rows(found: DataFrame, shapes: list[Shape], ranges: int, entries: int =
         from pyspark import TaskContext
 
         held: dict[tuple, list] = {}
-        count, name = 0, TaskContext.get().partitionId() << 32
+        count, name = 0, TaskContext.get().taskAttemptId() << 24
 
         def flush():
             nonlocal name
@@ -508,13 +509,13 @@ def run_rows(found: DataFrame, shapes: list[Shape], ranges: int, entries: int =
                     *entry, places = ordered[at]
                     if len(places) > max(1, inline):
                         rids, own = zip(*places, strict=True)
-                        away.append((name, rids, own))
+                        away.append((r, None, name, rids, own))
                         places = [(-1, name), (-2, min(rids)), (-2, max(rids))]
                         name += 1
                     out.append((*entry, places))
                     at += 1
                 blocks.append((r, coded(out)))
-            rows = [(r, block, None, None, None) for r, block in blocks] + [(None, None, *x) for x in away]
+            rows = [(r, block, -1, None, None) for r, block in blocks] + away
             kinds = [pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
@@ -539,14 +540,18 @@ def covered_rows(runs: DataFrame, shapes: list[Shape], ranges: int) -> DataFrame
     """run_rows() to (_rid, kind, a, b): the units that repeated windows cover; kind is 1 for words."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.array(list(merge_range(pdf["block"].tolist(), shapes)), dtype=np.int64).reshape(-1, 5)
-        return pd.DataFrame(out, columns=["_rid", "place", "a", "b", "kind"])
-
-    blocks = runs.where("block IS NOT NULL").select("range", "block").repartition(ranges, "range")
-    said = materialize(blocks.groupBy("range").applyInPandas(run, "_rid long, place long, a long, b long, kind long"), "covered")
-    kept = runs.where("block IS NULL").select("name", F.explode(F.arrays_zip("rids", "places")).alias("p")).select("name", "p.rids", "p.places")
-    far = said.where("_rid < 0").withColumnRenamed("place", "name").join(kept, "name").select(F.col("rids").alias("_rid"), F.col("places").alias("place"), "a", "b", "kind")
-    near = said.where("_rid >= 0").select("_rid", "place", "a", "b", "kind")
+        blocks = [x for x in pdf["block"] if x is not None]
+        out = [np.array([(*x, 0) for x in merge_range(blocks, shapes)], dtype=np.int64).reshape(-1, 6)]
+        for name, rids, places in pdf.loc[pdf["block"].isna(), ["name", "rids", "places"]].itertuples(index=False):
+            rows = np.full((len(rids), 6), (0, 0, 0, 0, -1, int(name)), dtype=np.int64)
+            rows[:, 0], rows[:, 1] = rids, places
+            out.append(rows)
+        return pd.DataFrame(np.concatenate(out), columns=["_rid", "place", "a", "b", "kind", "name"])
+
+    said = materialize(runs.repartition(ranges, "range").groupBy("range").applyInPandas(run, "_rid long, place long, a long, b long, kind long, name long"), "covered")
+    kept = said.where("kind < 0").select("name", "_rid", "place")
+    far = said.where("_rid < 0").select(F.col("place").alias("name"), "a", "b", "kind").join(kept, "name").select("_rid", "place", "a", "b", "kind")
+    near = said.where("_rid >= 0 AND kind >= 0").select("_rid", "place", "a", "b", "kind")
     return near.unionByName(far).select("_rid", "kind", (F.col("place") + F.col("a")).alias("a"), (F.col("place") + F.col("b")).alias("b"))
 
 
@@ -596,10 +601,11 @@ def repeated_spans(rows: DataFrame, shapes: list[Shape], *, size: int = CHUNK_BY
     """rows (_rid, _bytes) to (_rid, spans): the intervals that repeated windows cover, for rows that have any."""
     found = candidates(rows, shapes, size, hot_contexts)
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // range_entries))
-    runs = materialize(run_rows(_with_texts(found, rows), shapes, ranges, run_entries, inline), "runs")
+    free_shuffles(rows.sparkSession)
+    covered = covered_rows(run_rows(_with_texts(found, rows), shapes, ranges, run_entries, inline), shapes, ranges)
     drop_now(found)
     free_shuffles(rows.sparkSession)
-    return covered_rows(runs, shapes, ranges).groupBy("_rid").agg(F.collect_list(F.struct("kind", "a", "b")).alias("spans"))
+    return covered.groupBy("_rid").agg(F.collect_list(F.struct("kind", "a", "b")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, length: int = LENGTH, span: int = SPAN, passage_words: int = PASSAGE_WORDS, passage_span: int = PASSAGE_SPAN, **options) -> DataFrame:
