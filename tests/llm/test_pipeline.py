@@ -13,7 +13,7 @@ def test_stages(spark, awkward, small):
         rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
         kept = stage["quality"](spark, docs, None).cache()
         assert kept.columns == docs.columns
-        assert Counter(r.doc_id for r in kept.collect()) == Counter(x[0] for x in test_quality_rules.verdicts(rows) if x[-1])
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(x[0] for x in test_quality_rules.verdicts(rows) if x[7])
         single = stage["near_dedup"](spark, kept, None).cache()
         groups = {c if c is not None else f for _, f, c in test_simhash.expected([tuple(r) for r in kept.select("doc_id", "text").collect()])}
         assert len(groups) == single.count()
