@@ -116,7 +116,7 @@ SENTENCES = (
     ("agpl", "remotely through a computer network", "(?:users )?interact(?:ing)? with it remotely through a computer network"),
     ("gfdl", "no invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
     ("gfdl", "permission is granted to copy", "permission is granted to copy distribute and or modify this document"),
-    ("apache-2.0", "you may not use this file", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "except in compliance", "you may not use this file except in compliance with the license"),
     ("apache-2.0", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
     ("apache-2.0", "apache org licenses", "www apache org licenses license 2 0"),
     ("apache", "apache software foundation", "software developed (?:by|at) the apache software foundation"),
