@@ -84,6 +84,7 @@ def variants(fp: Column, distance: int = DISTANCE) -> Column:
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(u, v): all pairs of the distinct fingerprints `fp` at `distance` or fewer differing bits, once each."""
     index = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("x")).select("fp", "x.bit", "x.rest")
+    index = index.hint("merge")  # Spark takes the index to be as small as the fingerprints it is made of, and would broadcast it
     a, b = index.alias("a"), index.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     first = F.lit(-1)  # the variant that the pair is kept at: the first segment with at most one differing bit

@@ -67,6 +67,11 @@ def test_links_are_complete_and_single(spark):
         assert set(got) == {(min(a, b), max(a, b)) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= distance}
 
 
+def test_index_is_not_broadcast(spark):
+    plan = s.links(spark.range(100).selectExpr("id AS fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # the index has 64 rows for each fingerprint, whatever Spark reckons
+
+
 def test_one_of_each(awkward, small):
     for docs in (awkward, small):
         out = s.one_of_each(docs)
