@@ -1,14 +1,14 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Stages, each on all that its predecessor kept: quality rules drop the documents that fail, with their host or alone;
-near-dedup (five-word shingles, similarity 0.8 or more) leaves one document of each group; PII is replaced by surrogates; sources are mixed to the target
+near-dedup (op6: SimHash fingerprints at 4 or fewer differing bits, by deletion variants) leaves one document of each group; PII is replaced by surrogates; sources are mixed to the target
 weights, whole documents being repeated or left out; what is left is packed. All but the last return the columns of
 documents. Between stages the rows are written as Parquet and read again.
 """
 
 from __future__ import annotations
 
-from peltrane.llm import mixing, packing, pii, quality_rules, shingle_dedup
+from peltrane.llm import mixing, packing, pii, quality_rules, simhash
 from peltrane.llm.common import materialize, table
 from peltrane.llm.queries import pii_key
 
@@ -18,7 +18,7 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    return shingle_dedup.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def private_data(spark, docs, sf_dir):

@@ -26,6 +26,15 @@ def test_stages(spark, awkward, small):
         assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
 
 
+def test_near_dedup_is_simhash(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words).upper(), " ".join([*words[:57], "a", "b", "c"]), " ".join([*words * 20, "x"]), " ".join(words * 20), None, ""]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {c for _, _, c in test_simhash.expected(list(enumerate(texts)))}
+    assert 2 in want  # similar to 0 by five-word shingles, not by fingerprint
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, None).collect()} == want
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.columns[0] == "doc_id"
