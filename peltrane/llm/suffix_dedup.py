@@ -56,7 +56,7 @@ from .common import SPACE, drop_now, free_shuffles, materialize, spread, with_ro
 LENGTH, SPAN, GRAM = 400, 300, 8
 PASSAGE_WORDS, PASSAGE_SPAN, WORD_GRAM, WORD, BRIEF = 51, 36, 3, 8, 4  # passages of over 50 words; a word's code has 8 bytes, in runs 4
 LONG_WORD = 1 << 16  # bytes of a word from which it is hashed apart
-CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 20, 60_000, 50_000, 20_000
+CHUNK_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT_CONTEXTS = 1 << 18, 60_000, 50_000, 20_000
 INLINE = 64  # places of an entry that travel with it
 PAIRS_UP_TO = 12  # entries of a group that are compared two by two; larger groups go by classes
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
@@ -73,9 +73,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Powers(dict):
-    """n -> BASE to the powers 0 to n, and their inverses, modulo 2^64. Each process makes its own."""
+    """n -> BASE to the powers 0 to n or more, and their inverses, modulo 2^64. Each process makes its own, and holds the longest only."""
 
     def __missing__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self and (most := max(self)) > n:
+            return self[most]
+        self.clear()
         both = np.full((2, n + 1), BASE, dtype=np.uint64)
         both[1] = pow(BASE, -1, 1 << 64)
         both[:, 0] = 1
@@ -95,7 +98,10 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     powers, inverse = POWERS[1 << max(16, n.bit_length())]  # few sizes, each made once
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= powers[:n]
+    np.cumsum(terms, out=sums[1:])
     return _mixed((sums[end] - sums[start]) * inverse[start])
 
 

@@ -172,3 +172,19 @@ def test_query_on_documents(small):
 
 def test_empty(empty):
     assert s.suffix_dedup(empty).count() == 0
+
+
+def test_memory_of_a_chunk():
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.random()) for _ in range(1000)).encode() for _ in range(150)]
+    s.POWERS.clear()
+    tracemalloc.start()
+    try:
+        for shape, of in ((s.Shape(), texts), (s.Shape(s.PASSAGE_WORDS, s.PASSAGE_SPAN, unit=s.WORD), s.word_codes(texts))):
+            for chunk in s._chunks(of, shape, s.CHUNK_BYTES):
+                s.anchors([x[2] for x in chunk], shape)
+        assert tracemalloc.get_traced_memory()[1] < 64e6 and len(s.POWERS) == 1
+    finally:
+        tracemalloc.stop()
